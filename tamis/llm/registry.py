@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import quality
+from tamis.llm import bpe, language, quality, token_count
 from tamis.shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, dictionaries)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False, digests=True)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_count.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_count.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
