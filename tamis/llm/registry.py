@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import bpe, language, media, mixing, near_dup, quality, secret_scan, sharding, token_count
+from tamis.llm import bpe, language, licenses, media, mixing, near_dup, quality, secret_scan, sharding, token_count
 from tamis.shared import table
 
 
@@ -30,6 +30,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_media_tiles": op6_media_tiles,
     "op7_secret_scan": op7_secret_scan,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
     "op5_quality_rules": quality.oracle(),
 }
