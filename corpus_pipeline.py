@@ -1,10 +1,16 @@
-"""Documents to training tokens in stages; each stage reads what the one before it wrote."""
+"""Documents to training tokens in stages; each stage reads what the one before it wrote.
+
+All stages but the last return the columns of ``documents``.  The near-duplicate stage takes shingles of five words and a similarity
+of 0.8; mixing repeats a document as often as the schedule takes its words, so one ``doc_id`` may come several times
+after it.  Null texts have no words, so the first stage drops them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm import quality
+from tamis.llm import bpe, mixing, near_dup, quality, secret_scan
 from tamis.shared import discard, materialise, table
 
 
@@ -13,11 +19,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each near-duplicate group."""
+    return near_dup.keep_firsts(docs, width=5, percent=80)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the values of their secrets masked and ``n_chars`` to match."""
+    return secret_scan.mask_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the target weights takes them."""
+    return mixing.keep_mixed(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, and digests of the ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, ids=True, digests=True)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: Hashing, near-duplicate groups and tokenizer merges are beyond SQL; tests use brute force.
+#: Near-duplicate groups, hashed streams and tokenizer merges are beyond SQL; tests use brute force.
 ORACLE_SQL = None
 
 
