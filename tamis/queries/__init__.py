@@ -1,4 +1,10 @@
 """Driver queries of the scoring engine, with the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tamis.queries import criteria, documents, ordering, scoring, text
+
+_MODULES = (scoring, ordering, text, criteria, documents)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
