@@ -23,15 +23,18 @@ def contained_passages(texts: DataFrame, text_id: str, text: str, passages: Data
     are its anchor: only texts with the anchor are compared. Passages of fewer than five words have no anchor; they
     are compared with all texts, in broadcast blocks of ``most``, as a fixed list of queries.
     """
-    known = passages.select(F.col(passage_id), words_only(F.col(passage)).alias("p")).where("p <> ''").withColumn("w", F.split("p", " "))
-    anchored = known.where(F.size("w") >= ANCHOR + 2).select(passage_id, "p", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(1, ANCHOR + 1)]).alias("anchor"))
-    short = known.where(F.size("w") < ANCHOR + 2).select(passage_id, "p")
+    known = passages.select(F.col(passage_id), words_only(F.col(passage)).alias("__p")).where("__p <> ''").withColumn("__w", F.split("__p", " "))
+    anchor = F.xxhash64(*[F.get("__w", F.lit(k)) for k in range(1, ANCHOR + 1)]).alias("__anchor")
+    anchored = known.where(F.size("__w") >= ANCHOR + 2).select(passage_id, "__p", anchor)
+    short = known.where(F.size("__w") < ANCHOR + 2).select(passage_id, "__p")
     small = anchored.limit(most + 1).count() <= most
-    source = texts.select(F.col(text_id), words_only(F.col(text)).alias("t"))
-    grams = source.select(text_id, "t", F.explode(let(F.split("t", " "), lambda w: F.array_distinct(_windows(w, ANCHOR)))).alias("anchor"))
-    long_hits = grams.join(F.broadcast(anchored) if small else anchored, "anchor").where(F.contains("t", F.col("p")))
-    found = long_hits.select(text_id, passage_id)
-    if not short.isEmpty():
-        hits = source.join(F.broadcast(short), F.contains(F.col("t"), F.col("p")))
-        found = found.unionByName(hits.select(text_id, passage_id))
+    source = texts.select(F.col(text_id), words_only(F.col(text)).alias("__t"))
+    anchors = F.explode(let(F.split("__t", " "), lambda w: F.array_distinct(_windows(w, ANCHOR)))).alias("__anchor")
+    inside = F.contains(F.col("__t"), F.col("__p"))
+    found = source.select(text_id, "__t", anchors).join(F.broadcast(anchored) if small else anchored, "__anchor").where(inside).select(text_id, passage_id)
+    n_short = short.count()
+    blocks = max(1, -(-n_short // most))
+    for b in range(blocks if n_short else 0):  # a fixed list of queries against all texts, a bounded block at a time
+        block = short.where(F.pmod(F.xxhash64(passage_id), F.lit(blocks)) == b)
+        found = found.unionByName(source.join(F.broadcast(block), inside).select(text_id, passage_id))
     return found.distinct()
