@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamis.queries import criteria, documents, ordering, scoring, text
+from tamis.queries import criteria, display, documents, ordering, scoring, text
 
-_MODULES = (scoring, ordering, text, criteria, documents)
+_MODULES = (scoring, ordering, text, criteria, documents, display)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
