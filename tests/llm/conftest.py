@@ -25,6 +25,7 @@ def edge_rows():
     ]
     rows = [(i, t, ["en", "fr", None][i % 3], ["b", "a", None, "é"][i % 4], None, 1, 2, "k", None, "h", "d") for i, t in enumerate(texts)]
     rows += [rows[5], rows[5], (None, prose(60, 9), None, None, None, None, None, None, None, None, None)]
+    rows += [(None, t, None, None, None, None, None, None, None, None, None) for t in (base, base + " more", prose(60, 9))]
     return rows
 
 

@@ -218,7 +218,9 @@ def test_near_duplicates_edges(edge_docs, known_docs, no_docs):
     _, groups = _near_by_brute_force(texts, 5, 80)
     rows = near_dup.near_duplicates(known_docs).collect()
     assert len(rows) == known_docs.count() and all(r.component_id == groups[r.doc_id] for r in rows)
-    assert near_dup.near_duplicates(edge_docs).count() == edge_docs.count()
+    every = near_dup.near_duplicates(edge_docs).collect()
+    assert len(every) == edge_docs.count() and all(r.component_id == (groups[r.doc_id] if r.doc_id is not None else None) for r in every)
+    assert all(r.kept for r in every if r.doc_id is None)
     assert near_dup.near_duplicates(no_docs).count() == 0
     kept = near_dup.keep_firsts(known_docs)
     assert kept.columns == known_docs.columns and {r.doc_id for r in kept.collect()} == {i for i, g in groups.items() if i == g}

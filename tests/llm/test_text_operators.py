@@ -141,9 +141,9 @@ def test_secrets_scan_in_linear_time():
 # -- media ------------------------------------------------------------------------
 
 
-def test_media_of_texts(edge_docs, no_docs):
-    texts = {r.doc_id: (r.text or "").encode() for r in edge_docs.collect()}
-    for r in media.media_digests(edge_docs).collect():
+def test_media_of_texts(known_docs, no_docs):
+    texts = {r.doc_id: (r.text or "").encode() for r in known_docs.collect()}
+    for r in media.media_digests(known_docs).collect():
         raw = texts[r.doc_id]
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
@@ -219,10 +219,10 @@ def _tiktoken():
     return blob, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_is_the_library(edge_docs, no_docs):
+def test_bpe_is_the_library(known_docs, no_docs):
     _, exact = _tiktoken()
-    texts = {r.doc_id: r.text or "" for r in edge_docs.collect()}
-    encoded = bpe.encode(edge_docs, RANKS, public_tokenizers.PATTERN, digests=True)
+    texts = {r.doc_id: r.text or "" for r in known_docs.collect()}
+    encoded = bpe.encode(known_docs, RANKS, public_tokenizers.PATTERN, digests=True)
     for r in encoded.collect():
         ids = exact.encode_ordinary(texts[r.doc_id])
         assert r.ids == ids and r.n_tokens == len(ids)
@@ -250,11 +250,11 @@ def pieces():
     return token_count.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def test_token_counts_are_the_library(pieces, edge_docs, no_docs):
+def test_token_counts_are_the_library(pieces, known_docs, no_docs):
     exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     exact.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
-    texts = {r.doc_id: r.text or "" for r in edge_docs.collect()}
-    for r in token_count.token_counts(edge_docs, pieces).collect():
+    texts = {r.doc_id: r.text or "" for r in known_docs.collect()}
+    for r in token_count.token_counts(known_docs, pieces).collect():
         assert r.n_tokens == len(exact.encode(texts[r.doc_id], add_special_tokens=False).ids)
     counter = token_count.counter_of(pieces)
     rng = random.Random(2)
