@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.functions.text import EMAIL, strip
+from tamis.shared import col
 
 
 def candidate_email(field: Column, text: Column, stem: Column) -> Column:
@@ -22,7 +23,8 @@ def matrix(scores: DataFrame, row: str, column: str, value: str, names: Sequence
 
     Names are given, so no extra pass looks for them.
     """
-    return scores.groupBy(row).pivot(column, list(names)).agg(F.first(value)).na.fill(0.0, subset=list(names))
+    wide = scores.groupBy(row).pivot(column, list(names)).agg(F.first(value))
+    return wide.select(row, *[F.coalesce(col(n), F.lit(0.0)).alias(n) for n in names])
 
 
 def spread(scores: DataFrame, column: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.config import Settings
+from tamis.operators import consistency
 from tamis.plans import flows
 from tamis.providers import HashEmbedder, ParserChain, StandInJudge, TextParser, embed, embed_missing
 from tamis.sources import files, sinks
@@ -120,6 +121,23 @@ def test_evaluate_flow(spark, tmp_path):
     assert {(r.overall_score, r.recommendation) for r in failed.collect()} == {(0.0, "REJECT")}
 
 
+def test_benchmark_flow(spark, folder):
+    scores, report = flows.benchmark(spark, str(folder / "one"), str(folder / "two"))
+    assert [(r.file_name, r.matched) for r in scores.collect()] == [("cv_2.json", True)]
+    assert report.first().files == 1 and 0 < report.first().overall < 1
+
+
+def test_consistency_flow(spark, tmp_path):
+    documents = spark.createDataFrame([("a", json.dumps(DOCUMENT)), ("b", json.dumps(DOCUMENT)), ("c", "{}")], "name string, document string")
+    store = flows.store_criteria(spark, str(tmp_path / "criteria"), STANDARD, HIDDEN)
+    scores = flows.consistency_rounds(documents, store, StandInJudge, 2, Settings(evaluation_runs=1, evaluation_attempts=1))
+    emails = ["a@x.y", "a_2@x.y", "c@unknown.com"]
+    assert {tuple(r) for r in scores.collect()} == {(i, e, 84.7) for i in (1, 2) for e in emails}
+    sinks.write_matrix(consistency.matrix(scores, "round", "email", "score", emails), str(tmp_path / "csv"))
+    lines = [x for p in (tmp_path / "csv").glob("*.csv") for x in p.read_text().split()]
+    assert lines[0] == "round," + ",".join(emails) and "1,84.7,84.7,84.7" in lines
+
+
 def test_ingest(spark, folder, tmp_path):
     seen = []
     for _ in range(2):
