@@ -8,8 +8,8 @@ other characters than letters become one space, so capitals, digits and markup w
 nothing.  The score is the winner's softmax weight over those byte counts, so it is
 near 1 / languages when they tie, and narrow margins are marked as rejected.
 
-``und`` with score 0 stands for a null text and a text without a letter (``str.isalpha``
-of no character); so do empty texts.  With no labelled rows at all, or an empty training
+``und`` with score 0 stands for a null text and a text without a letter (Unicode category L);
+so for empty texts.  With no labelled rows at all, or an empty training
 table, every text is ``und``.  Ties go to the language with the most training text, then to the name that sorts first.  Repeated
 rows get equal answers.  Only the named columns are read.
 """
@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tamis.llm.batches import slices
 from tamis.shared import col
 
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 
 

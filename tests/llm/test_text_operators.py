@@ -201,6 +201,9 @@ def test_language_edges(spark, edge_docs, no_docs):
     found = {r.doc_id: r for r in language.identify(edge_docs, dictionaries).collect()}
     assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (0, 1, 2, 15, 16)) and found[5].lang_pred in ("en", "fr")
     assert {r.lang_pred for r in language.identify(edge_docs, {}).collect()} == {"und"}
+    classifier = language.Classifier(dictionaries)
+    assert all(classifier.predict(t, 0.01) == ("und", 0.0, True) for t in ("½ ² 12_3", "!?", "\u0301"))
+    assert classifier.predict("é", 0.01)[0] in ("en", "fr")
     assert language.identify(no_docs, dictionaries).count() == 0
 
 
