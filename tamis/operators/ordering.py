@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tamis.functions.text import EMAIL, stem, strip
+from tamis.shared import materialise
 
 LAST_TIER, NO_PLACE = 3, 9999
 
@@ -87,7 +88,7 @@ def unique_names(rows: DataFrame, name: str, order: str, result: str = "unique_n
     """``rows`` with names made unique in the order of ``order``: ``x@d``, then ``x_2@d``, ``x_3@d`` and so on.
 
     A name that is taken, by a row before or as a made-up one, goes on counting. Only families of names that could meet (``x`` beside
-    ``x_2``) are worked through one by one; all others are numbered by a window. ``order`` must be unique in a family.
+    ``x_2``) are worked through one by one, as their numbers depend on each other; all others are ranked. ``order`` must be unique in a family.
     """
     local = F.regexp_extract(name, r"^([^@]*)", 1)
     domain = F.when(F.contains(F.col(name), F.lit("@")), F.regexp_extract(name, r"^[^@]*@([^@]*)", 1)).otherwise(F.lit("unknown.com"))
@@ -95,8 +96,7 @@ def unique_names(rows: DataFrame, name: str, order: str, result: str = "unique_n
     marked = rows.withColumn("__family", family)
     kinds = marked.groupBy("__family").agg((F.min(name) != F.max(name)).alias("__mixed"))
     marked = marked.join(kinds, "__family")
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    pure = marked.where("NOT __mixed").withColumn("__n", nth)
+    pure = ranked(marked.where("NOT __mixed"), name, [order], "__n")
     made = F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(local, F.lit("_"), F.col("__n"), F.lit("@"), domain))
     pure = pure.withColumn(result, made).drop("__n", "__mixed", "__family")
 
@@ -120,9 +120,24 @@ def unique_names(rows: DataFrame, name: str, order: str, result: str = "unique_n
     return pure.select(*columns, result).unionByName(mixed.groupBy("__family").applyInPandas(one_by_one, schema))
 
 
+def ranked(rows: DataFrame, key: str, order: Sequence[str], result: str = "rank") -> DataFrame:
+    """``rows`` with their place, from 1, in the order of ``order`` among the rows of their key.
+
+    However many rows a key has, no task sees more than a range of them: rows are dealt by ranges of key and order, counted for each
+    range, and numbered inside it from the count of the ranges before. The ranges are written once, so that counts and numbers agree.
+    """
+    dealt = rows.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    counts = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    local = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order))
+    joined = dealt.withColumn("__local", local).join(bases, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+    return joined.select(*[F.col(c) for c in rows.columns], (F.col("__base") + F.col("__local")).alias(result))
+
+
 def rank_in_tier(rows: DataFrame, tier: str, order: Sequence[str]) -> DataFrame:
-    """``rows`` with the tier (3 if unknown), the rank inside it and the tier's count."""
-    known = F.coalesce(F.col(tier), F.lit(LAST_TIER))
-    counts = rows.groupBy(known.alias("__tier")).agg(F.count(F.lit(1)).alias("tier_count"))
-    ranked = rows.withColumn("__tier", known).withColumn("rank", F.row_number().over(Window.partitionBy("__tier").orderBy(*order)))
-    return ranked.join(F.broadcast(counts), "__tier").drop("__tier")  # a row for each tier
+    """``rows`` with the rank inside their tier (3 if unknown) and the tier's count."""
+    known = rows.withColumn("__tier", F.coalesce(F.col(tier), F.lit(LAST_TIER)))
+    counts = known.groupBy("__tier").agg(F.count(F.lit(1)).alias("tier_count"))
+    return ranked(known, "__tier", order).join(F.broadcast(counts), "__tier").drop("__tier")  # a row for each tier

@@ -105,6 +105,15 @@ def test_precedence_and_ranks(spark):
     assert {(r.i, r.rank, r.tier_count) for r in ranked.collect()} == {(1, 1, 2), (2, 2, 2), (3, 1, 1)}
 
 
+def test_ranks_of_a_large_key(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "b").alias("k"))
+    found = ordering.ranked(rows.repartition(7), "k", ["id"]).collect()
+    for key in ("hot", "b", None):
+        own = sorted((r.id, r["rank"]) for r in found if r.k == key)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert len(found) == 5000
+
+
 def test_decompose_golden(spark):
     lines = ("Cần 3+ năm kinh nghiệm Python, FastAPI, PostgreSQL.", "Ưu tiên ứng viên có tinh thần làm việc nhóm tốt.")
     rows = spark.createDataFrame([lines], "standard string, hidden string").withColumn("k", F.lit(0))
