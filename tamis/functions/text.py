@@ -96,14 +96,17 @@ def language_words(value: Column) -> Column:
 
 def language_status(words: Column) -> Column:
     """``unknown``, ``english``, ``bilingual`` or ``vietnamese`` for an array of words."""
-    marked = F.size(F.filter(words, lambda w: w.rlike(f"[{VIETNAMESE}]")))
     total = F.size(words)
-    return (
-        F.when(total == 0, "unknown")
-        .when(marked < 2, "english")
-        .when(100 * marked >= 15 * total, "vietnamese")
-        .otherwise("bilingual")
-    )
+
+    def status(marked: Column) -> Column:
+        return (
+            F.when(total == 0, "unknown")
+            .when(marked < 2, "english")
+            .when(100 * marked >= 15 * total, "vietnamese")
+            .otherwise("bilingual")
+        )
+
+    return let(F.size(F.filter(words, lambda w: w.rlike(f"[{VIETNAMESE}]"))), status)
 
 
 def normal_email(value: Column) -> Column:

@@ -13,8 +13,8 @@ from tamis.shared import table
 
 
 def language_status(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", X.language_words(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").cast("long").alias("n_words"), X.language_status(F.col("w")).alias("status"))
+    found = X.let(X.language_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), X.language_status(w).alias("status")))
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.n_words", "f.status")
 
 
 def markdown_validation(spark: SparkSession, d: str) -> DataFrame:
