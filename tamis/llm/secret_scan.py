@@ -8,11 +8,13 @@ Fixed kinds, each leftmost and non-overlapping over the whole text:
 
 The lexer adds kind ``lexed``.  It reads assignments of source code and configuration
 (``name = ``, ``name: ``, ``name := ``, ``"name" => ``, ``export NAME=``, ``obj.name = ``,
-``obj["name"] = ``) into pairs of a name and an expression of string literals and names joined by
-``+`` or ``.``.  A name that was assigned before stands for its literals (constants are propagated, in
-the order of the text), so a literal bound to an innocent name is found when that name reaches a
-sensitive target.  Each literal is scored by its target's words and its own look; literals that
-score enough are spans, without their quotes.
+``obj["name"] = ``, ``name: type = ``, ``name = name = ``) into pairs of a name and an expression of string
+literals, triple-quoted ones too, and names, joined by ``+`` or ``..`` or put in brackets.  Targets inside a
+value, such as named arguments and entries, are pairs of their own.  A name that was assigned before stands for
+its literals (constants are propagated, in the order of the text), so a literal bound to an innocent name is
+found when that name reaches a sensitive target.  Each literal is scored by its target's words and its own
+look; literals that score enough are spans, without their quotes.  Arguments of calls and subscripts that are
+not named are not read as values.
 
 Spans are code points, end exclusive.  A null or empty text has no spans.  Every row is scanned alone, so
 repeated rows agree; an empty table gives an empty result; other columns are never read.
@@ -73,12 +75,23 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "r
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*+"
 _DOTTED = rf"(?:{_NAME}[.\-](?=[A-Za-z_]))*+{_NAME}"
 _STRING = r"""[brufBRUF]{0,2}"(?:[^"\\\n]|\\.)*+"|[brufBRUF]{0,2}'(?:[^'\\\n]|\\.)*+'"""
+_TRIPLE = r"""[brufBRUF]{0,2}\"{3}(?s:[^\\"]|\\.|"(?!""))*+\"{3}|[brufBRUF]{0,2}'{3}(?s:[^\\']|\\.|'(?!''))*+'{3}"""
 _TARGET = re.compile(
-    rf"""(?:\[\x20*["']({_NAME})["']\x20*\]|["']([A-Za-z_][\w.\- ]{{0,80}})["']|(?<![\w.\-])({_DOTTED}))\x20*+(?::=|=>|=(?!=)|:(?!//))\x20*""",
+    rf"""(?:\[\x20*["']({_NAME})["']\x20*\]|["']([A-Za-z_][\w.\- ]{{0,80}})["']|(?<![\w.\-])({_DOTTED})(?:\?(?=\x20*:))?)\x20*+(?::=|=>|=(?!=)|:(?!//))\x20*""",
     re.ASCII,
 )
-_TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_DOTTED})(?![\w(\[])|(?P<bare>[^\s\"'#;,]+)", re.ASCII)
+# The type between a declared name's colon and its value.
+_TYPE = re.compile(r"""([A-Za-z_&*][\w.:|?!&*<>\[\],'"\x20]{0,80}+)=(?![=>~])\x20*""", re.ASCII)
+_TERM = re.compile(rf"(?P<triple>{_TRIPLE})|(?P<string>{_STRING})|(?P<name>{_DOTTED})(?![\w(\[])", re.ASCII)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*|[ \t]+(?=[\"'])", re.ASCII)
+# In brackets: what opens, closes and separates, bare terms, and what follows a term that is a target or a call.
+_OPEN = re.compile(r"[(\[{]\s*+")
+_CLOSE = re.compile(r"\s*+[)\]}]")
+_BETWEEN = re.compile(r"[\s,+]*+")
+_BARE_TERM = re.compile(r"[^\s\"'#;,+()\[\]{}=:]++")
+_ENDS = re.compile(r"\x20*+(?:=(?!=)|:|[(\[{])")
+_RUN = re.compile(r"[^\s\"'#;,]++")
+_CALLEE = re.compile(rf"(?:{_DOTTED})?[(\[{{]", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -106,50 +119,145 @@ def literal_score(weight: int, value: str) -> float:
     return weight + (mixed >= 2) + (entropy(value) >= 3.0) - 2 * (mixed == 1 and entropy(value) < 2.5)
 
 
+class _Value:
+    """Literals of an expression, the values of the names in it, and the greatest weight that reached it."""
+
+    __slots__ = ("literals", "parts", "weight")
+
+    def __init__(self) -> None:
+        self.literals: list[tuple[int, int]] = []
+        self.parts: list[_Value] = []
+        self.weight = 0
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Places of literals that assignments bind to sensitive names."""
     if "=" not in text and ":" not in text:
         return []
     bound: dict[str, _Value] = {}
     found: dict[tuple[int, int], None] = {}
-    at, n = 0, len(text)
-    while (target := _TARGET.search(text, at)) is not None:
+    chain: set[int] = set()  # ends of the targets that share the value at chain_end
+    chain_end, value, spot = -1, _Value(), -1
+    run_end = 0  # of the last bare run; targets in it are read without running through it again
+    target = _TARGET.search(text)
+    while target is not None:
         name = target.group(1) or target.group(2) or target.group(3)
-        code = target.group(0).rstrip().endswith("=") or target.group(3) is None
-        value = _Value()
-        spot = target.end()
-        while spot < n and (term := _TERM.match(text, spot)) is not None:
-            first, spot = spot == target.end(), term.end()
-            if term.lastgroup == "string":
-                quote = term.group().index(term.group()[-1])
-                value.literals.append((term.start() + quote + 1, term.end() - 1))
-            elif term.lastgroup == "name" and term.group() in bound:
-                value.parts.append(bound[term.group()])
+        code = _sign(target) == "=" or target.group(3) is None
+        end = target.end()
+        if end not in chain:
+            chain, chain_end = _chain(text, target)
+            value = _Value()
+            spot = _read(text, chain_end, bound, value)
+        whole = bool(value.literals or value.parts)
+        at = end
+        if whole:
+            code |= chain_end > end  # a declared type, or another target
+            at = spot if chain_end == end else end
+        following = _TARGET.search(text, at)
+        if whole and following is not None and chain_end <= following.start() < spot:
+            following = _TARGET.search(text, spot)
+        mine = value
+        if not whole:  # a bare value of a configuration line
+            mine = _Value()
+            term = _TERM.match(text, end)
+            if term is not None and term.lastgroup == "name":
+                mine.literals.append(term.span())
             else:
-                if first:  # a bare value of a configuration line
-                    value.literals.append(term.span())
-                break
-            more = _JOIN.match(text, spot)
-            if more is None:
-                break
-            spot = more.end()
-        bound[name] = bound[re.split(r"[.\-]", name)[-1]] = value
+                inner = end < run_end
+                if not inner and (run := _RUN.match(text, end)) is not None:
+                    run_end = run.end()
+                nested = following.start() if following is not None and following.start() < run_end else None
+                literal = _bare(text, end, run_end, nested, inner)
+                if literal is not None:
+                    mine.literals.append(literal)
+        bound[name] = bound[re.split(r"[.\-]", name)[-1]] = mine
         weight = name_weight(name)
         if code or weight >= 3:
-            reach(value, weight, text, found)
-        at = max(spot, target.end())
+            reach(mine, weight, text, found)
+        target = following
     return list(found)
 
 
-class _Value:
-    """Literals of an expression, the values of the names in it, and the greatest weight that reached it."""
-
-    __slots__ = ("literals", "parts", "weight")
-
-    def __init__(self) -> None:
-        self.literals: list[tuple[int, int]] = []
-        self.parts: list[_Value] = []
-        self.weight = 0
+def _sign(target: re.Match) -> str:
+    return target.group().rstrip()[-1]
+
+
+def _chain(text: str, target: re.Match) -> tuple[set[int], int]:
+    """Ends of a target and of those that follow it without a value between, and the place of their value."""
+    ends = {target.end()}
+    while True:
+        at, typed = target.end(), None
+        if _sign(target) == ":" and target.group(3) is not None:
+            typed = _TYPE.match(text, at)
+            if typed is not None and _is_list(typed.group(1)):
+                typed = None
+        following = _TARGET.match(text, at)
+        if following is not None and following.group(3) is not None and (typed is None or following.end() >= typed.end()):
+            target = following
+            ends.add(target.end())
+        elif typed is not None:
+            # A simple type, or its last part, reads as a target of its own.
+            return ends, typed.end()
+        else:
+            return ends, at
+
+
+def _is_list(kind: str) -> bool:
+    """Whether a comma or a quote stands outside the brackets of a type: then it is none."""
+    depth = 0
+    for k, c in enumerate(kind):
+        depth += (c in "[<") - (c in "]>")
+        if depth <= 0 and (c in ',"' or c == "'" and kind[k - 1] != "&"):
+            return True
+    return depth != 0
+
+
+def _read(text: str, at: int, bound: dict[str, _Value], value: _Value) -> int:
+    """Collect the literals and known names of the expression at a place; where it ends."""
+    depth = 0
+    while True:
+        if (opened := _OPEN.match(text, at)) is not None:
+            depth, at = depth + 1, opened.end()
+            continue
+        if depth and (closed := _CLOSE.match(text, at)) is not None:
+            depth, at = depth - 1, closed.end()
+        elif (term := _TERM.match(text, at)) is not None:
+            if depth and _ENDS.match(text, term.end()) is not None:  # an entry or a named argument
+                return at
+            if term.lastgroup != "name":
+                quoted = term.group()
+                marks = 3 if term.lastgroup == "triple" else 1
+                inside = quoted[quoted.index(quoted[-1]) + marks : -marks]
+                if marks == 3:
+                    inside = inside.strip()
+                lo = term.start() + quoted.index(inside, quoted.index(quoted[-1]) + marks)
+                value.literals.append((lo, lo + len(inside)))
+            elif term.group() in bound:
+                value.parts.append(bound[term.group()])
+            elif not depth and _JOIN.match(text, term.end()) is None:
+                return at
+            at = term.end()
+        elif depth and (bare := _BARE_TERM.match(text, at)) is not None and _ENDS.match(text, bare.end()) is None:
+            at = bare.end()
+        else:
+            return at
+        if depth:
+            at = _BETWEEN.match(text, at).end()
+        elif (more := _JOIN.match(text, at)) is not None:
+            at = more.end()
+        else:
+            return at
+
+
+def _bare(text: str, lo: int, run_end: int, nested: int | None, inner: bool) -> tuple[int, int] | None:
+    """The literal in a run of bare characters that may hold targets; ``inner`` if the run began before ``lo``."""
+    hi = nested if inner and nested is not None else run_end
+    if text[run_end : run_end + 1] in ("'", '"') and text[run_end - 1] in "([{=:" and _CALLEE.match(text, lo, hi):
+        return None  # the head of a call, a subscript or a list, with a string in it
+    if inner:
+        piece = text[lo:hi].rstrip("&?|([{")
+        hi = lo + len(piece if any(c in piece for c in "([{") else piece.rstrip(")]}"))
+    return (lo, hi) if hi > lo else None
 
 
 def reach(value: _Value, weight: int, text: str, found: dict[tuple[int, int], None]) -> None:

@@ -123,6 +123,72 @@ def test_secrets_by_assignment(text, secret):
     assert [text[lo:hi] for lo, hi in sorted(secret_scan.lexed_spans(text))] == secret
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'db = connect(password="p@ss!w0rd#9")',
+        'db = connect(host, port=5, password="p@ss!w0rd#9")',
+        'x={pwd:"p@ss!w0rd#9"}',
+        'c = Client(passphrase="p@ss!w0rd#9")',
+        'token = make_client_of(passphrase="p@ss!w0rd#9")',
+        'b = "x"\na = b + connect(password="p@ss!w0rd#9")',
+        'a = password = "p@ss!w0rd#9"',
+        'password = a = b = "p@ss!w0rd#9"',
+        'password: str = "p@ss!w0rd#9"',
+        'password: Optional[str] = "p@ss!w0rd#9"',
+        'password: dict[str, list[str]] = ["p@ss!w0rd#9"]',
+        'const apiSecret: string = "p@ss!w0rd#9"',
+        'const apiSecret: string | null = "p@ss!w0rd#9"',
+        'apiSecret?: string = "p@ss!w0rd#9"',
+        'val password: String = "p@ss!w0rd#9"',
+        'val password: String? = "p@ss!w0rd#9"',
+        'let secret: &str = "p@ss!w0rd#9"',
+        'const SECRET: &\'static str = "p@ss!w0rd#9"',
+        'password: std::string = "p@ss!w0rd#9"',
+        'd: str = "p@ss!w0rd#9"\npassword: Optional[str] = d',
+        'host: some, password = "p@ss!w0rd#9"',
+        'token = ("p@ss!w0rd#9")',
+        'token = [\n    "p@ss!w0rd#9",\n]',
+        'password = {"p@ss!w0rd#9"}',
+        'password = (prefix or "p@ss!w0rd#9")',
+        'password = prefix + "p@ss!w0rd#9"',
+        'cfg = {"a": [1, 2], "password": ["p@ss!w0rd#9"]}',
+        'password = """p@ss!w0rd#9"""',
+        "password = r\'\'\'\np@ss!w0rd#9\n\'\'\'",
+    ],
+)
+def test_secrets_in_nested_and_declared_targets(text):
+    assert [text[lo:hi] for lo, hi in secret_scan.lexed_spans(text)] == ["p@ss!w0rd#9"]
+    assert "w0rd" not in secret_scan.masked(text)
+
+
+def test_secrets_in_bracketed_parts():
+    text = 'token = ("p@ss!w0rd#9" +\n  "Xy12Zq88pp")\nkeys = ["a"]\nsecrets = ["Tt55Rr44Ww", k("no9Argument")]'
+    assert [text[lo:hi] for lo, hi in sorted(secret_scan.lexed_spans(text))] == ["p@ss!w0rd#9", "Xy12Zq88pp", "Tt55Rr44Ww"]
+
+
+def test_secrets_in_bare_values():
+    for text, secret in (
+        ("url=https://h/?user=bob&password=@bc123XYZ!!", "@bc123XYZ!!"),
+        ("c = Client(password=@bc123XYZ!!)", "@bc123XYZ!!"),
+        ("password=(abc)123XYZ!!", "(abc)123XYZ!!"),
+        ("password=@bc(123XYZ!!", "@bc(123XYZ!!"),
+        ("token: QWxhZGRpbjpvcGVu=", "QWxhZGRpbjpvcGVu"),
+        ("token: QWxhZGRpbjpvcGVu=c2VzYW1l", "QWxhZGRpbjpvcGVu"),
+    ):
+        assert secret in [text[lo:hi] for lo, hi in secret_scan.lexed_spans(text)], text
+
+
+def test_secrets_in_nested_targets_in_linear_time():
+    began = time.time()
+    for text in (
+        "p=@" * 130_000, "password=" * 45_000, "p=f(" * 100_000, "a:b[" * 100_000, "a: b " * 80_000, "a=(b " * 80_000, "password=@(" * 40_000,
+        'a="""' * 80_000, 'a=["b"' * 60_000, "a=" + "(" * 400_000, "a=" * 200_000 + '"x"', "a=(" + "b, " * 130_000, "a: " + "b c " * 100_000, "a=b+" * 100_000,
+    ):
+        secret_scan.scan(text)
+    assert time.time() - began < 30
+
+
 def test_secrets_masked(edge_docs, no_docs):
     masked = secret_scan.mask_secrets(edge_docs)
     assert masked.schema == edge_docs.schema and masked.count() == edge_docs.count()
