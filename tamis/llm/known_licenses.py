@@ -1,4 +1,15 @@
-"""Texts of public licences, as their authors publish them, without copyright lines."""
+"""Texts of public licences, as their authors publish them, and the usual variants of them.
+
+``KNOWN`` holds eight short texts, ``EVERY`` these, the texts in ``license_texts`` and variants: titles, bullets for numbers,
+names in the third BSD clause, addresses of the Free Software Foundation, and texts that are not broken into lines or lack the
+instructions after their terms.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from importlib import resources
 
 # Licence texts.
 MIT = """\
@@ -102,3 +113,86 @@ KNOWN = (
     ("Unlicense", UNLICENSE),
     ("Zlib", ZLIB),
 )
+
+# Usual titles of texts that are also published under another one, or none.
+TITLES = {
+    "0BSD": ("", "0BSD", "Zero-Clause BSD", "BSD Zero Clause License", "BSD Zero Clause License (0BSD)", "Free Public License 1.0.0"),
+    "BSD-2-Clause": (
+        "", "BSD-2-Clause", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License',
+        "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "BSD 2-Clause License (FreeBSD/Simplified)",
+    ),
+    "BSD-3-Clause": (
+        "", "BSD-3-Clause", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License',
+        "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License", "BSD 3-Clause License (Revised)",
+    ),
+    "BSL-1.0": ("", "Boost Software License 1.0", "Boost Software License - Version 1.0", "Boost Software License, Version 1.0"),
+    "ISC": ("", "ISC", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)", "The ISC License (ISC)"),
+    "MIT": ("", "MIT", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "MIT License (Expat)", "Expat License", "License", "The MIT License:"),
+    "Unlicense": ("", "Unlicense", "The Unlicense", "The Unlicense (Unlicense)"),
+    "Zlib": ("", "Zlib", "zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"),
+}
+# The first lines of the texts above that are titles.
+OWN_TITLES = ("MIT License", "ISC License", "Boost Software License - Version 1.0 - August 17th, 2003")
+BULLETS = ("123", ("", "", ""), "abc", ("i", "ii", "iii"))
+# Who "may not be used to endorse"; other names need a text of their own.
+ENDORSERS = (
+    "the copyright holder", "the copyright holders", "the author", "the authors", "the owner", "the project", "the organization", "the company",
+    "the University", "the <organization>", "the <name>", "the copyright holder(s)",
+)
+# Names and files of the long texts; a text of a GNU licence does not say if later versions count.
+LONG = (
+    ("Apache-2.0", "Apache-2.0"), ("Artistic-1.0-Perl", "Artistic"), ("BSD-3-Clause", "BSD"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.2", "GFDL-1.2"),
+    ("GFDL-1.3", "GFDL-1.3"), ("GPL-1.0", "GPL-1"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.0", "LGPL-2"), ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"),
+)
+_APPENDIX = re.compile(r"\n[ \t]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms|ADDENDUM: How to use).*", re.DOTALL)
+_END = re.compile(r"\n[ \t]*END OF TERMS AND CONDITIONS[ \t]*\n\s*\Z")
+_ADDRESS = re.compile(r"51 Franklin St(?:reet)?, Fifth Floor,\s+Boston,? MA\s+02110-1301,?\s+USA")
+# Former and other spellings of that address.
+ADDRESSES = (
+    "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA",
+    "675 Mass Ave, Cambridge, MA 02139, USA", "675 Mass Ave, Cambridge, MA 02139",
+)
+
+
+def _short(name: str, text: str) -> Iterator[str]:
+    """A short text under its titles, with its bullets and names."""
+    head, _, rest = text.partition("\n")
+    body = rest.lstrip("\n") if head in OWN_TITLES else text
+    endorsers = ENDORSERS if name == "BSD-3-Clause" else ENDORSERS[:1]
+    for endorser in endorsers:
+        named = body.replace("Neither the name of the copyright holder", f"Neither the name of {endorser}")
+        for marks in BULLETS if re.search(r"(?m)^1\. ", body) else BULLETS[:1]:
+            listed = re.sub(r"(?m)^([123])\. ", lambda m, marks=marks: f"{marks[int(m[1]) - 1]}. ", named)
+            for title in TITLES[name]:
+                yield f"{title}\n\n{listed}"
+
+
+def _long(text: str) -> Iterator[str]:
+    """A long text with and without its instructions, as lines or paragraphs, with the addresses of its time."""
+    terms = _APPENDIX.sub("\n", text)
+    for part in dict.fromkeys((text, terms, _END.sub("\n", terms))):
+        addressed = [_ADDRESS.sub(a, part) for a in ADDRESSES] if _ADDRESS.search(part) else []
+        for one in (part, *addressed):
+            yield one
+            yield one.replace("use the GNU Lesser General", "use the GNU Library General")
+        yield re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", part)
+
+
+def _every() -> Iterator[tuple[str, str]]:
+    yield from KNOWN
+    for name, text in KNOWN:
+        yield from ((name, t) for t in _short(name, text))
+    for name, file in LONG:
+        text = resources.files(__package__).joinpath("license_texts", f"{file}.txt").read_text("utf-8")
+        yield from ((name, t) for t in _long(text))
+        if file == "BSD":
+            body = text.partition("\n\n")[2]
+            for marks in BULLETS:
+                listed = re.sub(r"(?m)^([123])\. ", lambda m, marks=marks: f"{marks[int(m[1]) - 1]}. ", body)
+                yield from ((name, f"{title}\n\n{listed}") for title in TITLES[name])
+
+
+#: Licence names and texts with all variants.
+EVERY = tuple(dict.fromkeys(_every()))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.known_licenses import KNOWN
+from tamis.llm.known_licenses import EVERY, KNOWN
 from tamis.shared import col
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,7 +44,7 @@ def canonical(text: Column) -> Column:
 
 
 def license_scan(
-    docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text", most_known: int = 100_000
+    docs: DataFrame, known: Sequence[tuple[str, str]] = EVERY, id_col: str = "doc_id", text_col: str = "text", most_known: int = 100_000
 ) -> DataFrame:
     """For each row of ``docs``: ``doc_id``, the ``digest`` of its whole text and the ``license_id``, or null."""
     spark = docs.sparkSession
@@ -58,7 +58,7 @@ def license_scan(
 
 
 def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """DuckDB SQL for :func:`license_scan` over ``documents``."""
+    """DuckDB SQL for :func:`license_scan` over ``documents``; it names the eight short texts only."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"

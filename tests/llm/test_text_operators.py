@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import pathlib
 import random
 import re
 import time
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
 from tamis.llm import bpe, language, licenses, media, quality, registry, secret_scan, token_count
-from tamis.llm.known_licenses import KNOWN
+from tamis.llm.known_licenses import KNOWN, LONG
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -85,6 +86,37 @@ def test_licenses_in_other_clothes(spark):
     assert all(v is None for i, v in found.items() if i >= 100)
 
 
+def _names(spark, texts):
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.license_id for r in sorted(rows)]
+
+
+def test_licenses_whole_long_texts(spark):
+    folder = pathlib.Path(licenses.__file__).parent / "license_texts"
+    texts = [(folder / f"{file}.txt").read_text() for _, file in LONG]
+    assert _names(spark, texts) == [name for name, _ in LONG]
+    assert _names(spark, [t + " and more" for t in texts]) == [None] * len(LONG)
+    apache, gpl = texts[0], texts[7]
+    assert _names(spark, [apache.split("   APPENDIX")[0], "# " + apache.replace("\n", "\n# "), apache.replace("[yyyy] [name of copyright owner]", "2020 Foo")]) == ["Apache-2.0"] * 3
+    former = gpl.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")
+    assert former != gpl and _names(spark, [former, gpl.split("            How to Apply")[0]]) == ["GPL-2.0"] * 2
+
+
+def test_licenses_under_other_titles_and_bullets(spark):
+    texts = dict(KNOWN)
+    mit, bsd = texts["MIT"].split("\n", 1)[1], texts["BSD-3-Clause"]
+    starred = re.sub(r"(?m)^\d\. ", "* ", bsd)
+    assert starred != bsd
+    found = _names(
+        spark,
+        [
+            mit, "The MIT License (MIT)\n" + mit, "BSD 3-Clause License\n\n" + bsd, starred, "BSD 3-Clause License\n\n" + starred, bsd.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) ", 1),
+            "BSD 2-Clause License\n" + re.sub(r"(?m)^\d\. ", "- ", texts["BSD-2-Clause"]), "zlib License\n\n" + texts["Zlib"], texts["ISC"].split("\n", 1)[1],
+        ],
+    )
+    assert found[:5] == ["MIT", "MIT"] + ["BSD-3-Clause"] * 3 and found[6:] == ["BSD-2-Clause", "Zlib", "ISC"]
+
+
 # -- secrets ----------------------------------------------------------------------
 
 
