@@ -1,8 +1,9 @@
 """License scans: canonical digests of entire texts, looked up among digests of known licences.
 
 The canonical form of a text drops what does not tell licences apart: A-Z become lower case; lines that are only a copyright
-notice (``copyright``, ``(c)`` or ``©`` with a year, a name or a placeholder) and ``all rights reserved`` lines go; runs of anything but
-letters and digits become one space; equivalent spellings become one.  The SHA-256 of the form is joined to the known ones.
+notice (``copyright``, ``copyright:``, ``(c)`` or ``©`` with a year, a name or a placeholder) and ``all rights reserved`` lines go; runs of
+anything but letters and digits become one space; equivalent spellings become one.  The SHA-256 of the form is joined to the known
+ones.  A line about copyright that goes on as a sentence, such as ``copyright holders be liable`` or ``(c) You must retain``, stays.
 
 A null text has the form and digest of an empty one and matches nothing, as does a text without letters or digits.  Rows are looked up
 alone: repeated rows agree; an empty table gives an empty result; of known licences with one digest the first name counts.  Only
@@ -22,6 +23,30 @@ from tamis.shared import col
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line, with the break before it, that only states a copyright; in lower case.
 NOTICE = r"\n[ \t\r#*/;.-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{a-z]|©|all rights reserved)[^\n]*"
+# Words that go on a sentence after ``copyright`` or ``(c)``, and words that no plain name holds.
+_GOES_ON = (
+    "holders? owners? notices? licen[cs]e(?:s|d|es)? licensors? laws? lines? statements? interests? rights? protections? infring\\w* claims? ownership status "
+    "disclaimers? treat(?:y|ies) acts? permissions? management terms? grants? information headers? polic(?:y|ies) assignments? materials? violations? directives? "
+    "conventions? subject works? and or on in of to is are was for as that which with may shall must also does means like you your it its an? if when where "
+    "under by neither either nor each every such no not all any this these redistributions?"
+).split()
+_SENTENCE = (
+    "is are be was shall must may will hereby granted provided permission permitted warranty warranties liable liability notice notices means that which you "
+    "your not redistribution redistributions redistribute distribute distributed this these licensed following without any if unless except nor under retain reproduce"
+).split()
+# Last words of names that are written in lower case.
+_BODIES = "inc|ltd|llc|corp|corporation|gmbh|company|authors?|contributors?|foundation|project|developers?|maintainers?|team|community|university"
+_PLAIN = rf"(?![^\n]*[ \t](?:{'|'.join([*_SENTENCE, *map(str.upper, _SENTENCE)])})(?:[ \t,.;:)\r\n]|\z))"
+_LAST = r"[ \t\r*/#.>-]*(?=\n|\z)"
+#: A line, with the break before it, that states a copyright by a name or after a colon; in its own case.
+NAMED = (
+    r"\n[ \t\r#*/;.%!|<>-]*(?:(?i:copyright)(?:[ \t]*:)?|\([cC]\))[ \t]*(?:\([cC]\)|©)?[ \t]*"
+    rf"(?!(?i:{'|'.join(_GOES_ON)})(?![\p{{L}}\p{{N}}_])){_PLAIN}"
+    rf"(?:(?:(?:[Tt]he|THE)[ \t]+)?[\p{{Lu}}\p{{Lo}}][^\n]{{0,200}}(?=\n|\z)|(?i:[\p{{L}}][^\n]{{0,200}}?(?<![\p{{L}}])(?:{_BODIES})){_LAST}"
+    rf"|(?<=\([cC]\)[ \t]{{0,9}})[\p{{Ll}}][^\s]*(?:[ \t]+[^\s]+){{0,3}}{_LAST}|(?<=:[ \t]{{0,9}})[\p{{L}}\p{{N}}(<\[{{][^\n]{{0,200}}(?=\n|\z))"
+)
+#: As ``NOTICE``, which the SQL uses, but ``(c)`` alone needs more than a letter: it may number a clause.
+STATED = NOTICE.replace(r"\(c\)[ \t]*[0-9<\[{a-z]", r"\(c\)[ \t]*([0-9<\[{]|copyright)")
 OTHER = r"[^\p{L}\p{N}]+"
 
 # Spellings that are read as equal, in canonical form.
@@ -35,8 +60,8 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    form = F.concat(F.lit("\n"), F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
-    form = F.regexp_replace(form, NOTICE, "")
+    form = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), NAMED, "")
+    form = F.regexp_replace(F.translate(form, UPPER, LOWER), STATED, "")
     form = F.trim(F.regexp_replace(form, OTHER, " "))
     for one, other in SPELLINGS:
         form = F.replace(form, F.lit(one), F.lit(other))

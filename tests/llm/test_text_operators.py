@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers
 
 from tamis.llm import bpe, language, licenses, media, quality, registry, secret_scan, token_count
-from tamis.llm.known_licenses import KNOWN, LONG
+from tamis.llm.known_licenses import EVERY, KNOWN, LONG
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -114,7 +114,39 @@ def test_licenses_under_other_titles_and_bullets(spark):
             "BSD 2-Clause License\n" + re.sub(r"(?m)^\d\. ", "- ", texts["BSD-2-Clause"]), "zlib License\n\n" + texts["Zlib"], texts["ISC"].split("\n", 1)[1],
         ],
     )
-    assert found[:5] == ["MIT", "MIT"] + ["BSD-3-Clause"] * 3 and found[6:] == ["BSD-2-Clause", "Zlib", "ISC"]
+    assert found[:6] == ["MIT", "MIT"] + ["BSD-3-Clause"] * 4 and found[6:] == ["BSD-2-Clause", "Zlib", "ISC"]
+
+
+NOTICES = (
+    "Copyright Joyent, Inc. and other Node contributors", "Copyright The Foo Authors", "Copyright the Foo Authors. All rights reserved.", "Copyright: 2020 Foo",
+    "copyright : Foo Ltd.", "copyright joyent, inc.", "copyright the foo authors", "COPYRIGHT THE FOO AUTHORS", "(c) Joyent, Inc.", "(C) joyent", "Copyright (c) Foo", "// Copyright Brian May",
+    "# Copyright: Foo and others", "  * Copyright Émile Żak <e@example.be>", "Copyright (c) The Regents of the University of California.", "© Foo", "% Copyright Foo", "Copyright 漢字",
+    "<!-- Copyright The Foo Authors -->", "Copyright (c) 2020 Foo", "(c) 2020 Foo", "Copyright by Foo", "Copyright © Foo", "Copyright: (c) 2020 Foo", "(c) Copyright Foo 2020",
+)
+PROSE = (
+    "copyright holders be liable", "COPYRIGHT HOLDERS OR CONTRIBUTORS BE LIABLE", "copyright notice that is included in or attached to the work", "Copyright Holder, and derivatives",
+    "copyright license to reproduce, prepare Derivative Works of,", "copyright on the Program, and are irrevocable provided the stated", "copyright law: that is to say, a work",
+    "copyright the software, and", "Copyright and Related Rights. A Work made available", "(c) You must retain, in the Source form of any Derivative Works", "(c) Neither the name of the copyright",
+    "(c) the licenses granted in this Section 2.1(a) and (b) are", "(c) under Patent Claims infringed by Covered Software in the absence of", "Copyrights for the package.",
+    "copyrighted by the Free Software Foundation, write to the Free", "Copyright Foo. This software is free.", "Copyright treaty adopted in 1996", "COPYRIGHT LAW",
+)
+
+
+def test_licenses_drop_notices_and_keep_prose(spark):
+    rows = [(t, f"one\n{t}\ntwo") for t in NOTICES + PROSE] + [(t, t) for t in NOTICES + PROSE]
+    forms = [tuple(r) for r in spark.createDataFrame(rows, "line string, text string").select("line", licenses.canonical(F.col("text")).alias("form")).collect()]
+    assert [r for r in forms if r[0] in NOTICES and r[1] not in ("one two", "")] == []
+    assert [r for r in forms if r[0] in PROSE and len(r[1].split()) < len(re.findall(r"\w+", r[0]))] == []
+
+
+def test_licenses_under_any_notice(spark):
+    mit = dict(KNOWN)["MIT"]
+    assert _names(spark, [mit.replace("Copyright (c) <year> <copyright holders>", n) for n in NOTICES]) == ["MIT"] * len(NOTICES)
+
+
+def test_licenses_share_no_form(spark):
+    forms = spark.createDataFrame(list(EVERY), "name string, text string").select("name", licenses.canonical(F.col("text")).alias("form"))
+    assert forms.groupBy("form").agg(F.count_distinct("name").alias("n")).where("n > 1").count() == 0
 
 
 # -- secrets ----------------------------------------------------------------------
