@@ -20,6 +20,12 @@ def test_query_without_sql_has_rows(name, spark, sf_dir):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_missing_leaves_has_every_customer(spark, sf_dir):
+    found = {r.c_custkey: r.warnings for r in queries.QUERIES["missing_leaves"](spark, sf_dir).collect()}
+    keys = {r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").collect()}
+    assert set(found) == keys and {k for k, w in found.items() if w is None} == {k for k in keys if k % 13 == 0}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 150
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
