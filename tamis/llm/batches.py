@@ -1,7 +1,9 @@
-"""Arrow batches cut to bounded pieces."""
+"""Arrow batches cut to bounded pieces, and memory given back between tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,3 +17,12 @@ def slices(batches: Iterator[pa.RecordBatch], most_rows: int = 1024, most_bytes:
         rows = max(1, min(most_rows, int(most_bytes * batch.num_rows / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Give the memory that a finished task has freed back to the machine; workers stay for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

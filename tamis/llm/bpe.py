@@ -9,7 +9,11 @@ arrays, long ones alone; both run the same algorithm.
 
 Null text counts as empty and has no ids.  Every row is encoded alone, so repeated rows
 agree, an empty table gives an empty result, and other columns are never read.
+Very long texts are taken whole; a tree needs about 200 bytes for each byte of the longest piece.
 Surrogates cannot occur in Spark strings; invalid UTF-8 is replaced on reading.
+
+A worker keeps the vocabulary for its next task.  What it remembers of pieces is bounded in bytes
+and goes when the task ends.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tamis.llm.batches import slices
+from tamis.llm.batches import release, slices
 from tamis.shared import col
 
 _NONE = np.iinfo(np.int64).max
@@ -37,15 +41,17 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines()) if a}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
+        self.names = {rank: str(rank) for rank in self.bytes_of}
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.bytes_of}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs: dict[tuple[int, int], int] = {}
+        pairs: dict[int, int] = {}  # left << 32 | right
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left, right] = rank
+                    pairs[left << 32 | right] = rank
         self.pairs = pairs
-        keys = np.array([left << 32 | right for left, right in pairs], dtype=np.int64)
+        keys = np.array(list(pairs), dtype=np.int64)
         order = np.argsort(keys)
         self._keys, self._joined = keys[order], np.array(list(pairs.values()), dtype=np.int64)[order]
 
@@ -68,7 +74,7 @@ class Vocabulary:
 
         def leaf(at: int) -> tuple[int, int]:
             to = after[at]
-            rank = pairs.get((ids[at], ids[to])) if to < n else None
+            rank = pairs.get(ids[at] << 32 | ids[to]) if to < n else None
             return none if rank is None else (rank, at)
 
         def put(at: int, value: tuple[int, int]) -> None:
@@ -99,8 +105,8 @@ class Vocabulary:
                 put(before[at], leaf(before[at]))
         return [i for i, alive in zip(ids, live, strict=True) if alive]
 
-    def merge_many(self, pieces: list[bytes], size: int) -> list[list[int]]:
-        """Ids of pieces of at most ``size`` bytes (a power of two), one tree a row."""
+    def merge_many(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Packed ids of pieces of at most ``size`` bytes (a power of two), one tree a row."""
         n = len(pieces)
         lengths = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), dtype=np.uint8).reshape(n, size)
@@ -148,19 +154,19 @@ class Vocabulary:
             has = left >= 0
             put(rows[has], left[has], leaf(rows[has], left[has]))
             rows = rows[tree[rows, 1] != _NONE]
-        flat, ends = ids[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        flat, ends = ids[live].astype("<i4").tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
         return [flat[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct pieces."""
-        out: dict[bytes, list[int]] = {}
+    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces, packed as 32-bit numbers."""
+        out: dict[bytes, bytes] = {}
         sized: dict[int, list[bytes]] = {}
         for piece in pieces:
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[piece] = [whole]
+                out[piece] = self.packed[whole]
             elif len(piece) > _LONG:
-                out[piece] = self.merge_long(piece)
+                out[piece] = np.array(self.merge_long(piece), dtype="<i4").tobytes()
             else:
                 sized.setdefault(1 << (len(piece) - 1).bit_length(), []).append(piece)
         for size, group in sized.items():
@@ -175,53 +181,59 @@ class Vocabulary:
 
 
 class Encoder:
-    """A vocabulary with a bounded memory of pieces that it has encoded."""
-
-    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000) -> None:
-        self.vocabulary, self.remember = vocabulary, remember
-        self.ids: dict[str, list[int]] = {}
-        self.shown: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text; afterwards all of them are remembered."""
-        if len(self.shown) > self.remember:
-            self.ids, self.shown, self.decoded = {}, {}, {}
-        split = self.vocabulary.pattern.findall
+    """A vocabulary with a memory of the pieces that it has encoded, bounded in bytes.
+
+    Pieces are remembered in two generations: when the young one is full, it becomes the old one, and what is not
+    met again until the next time is forgotten.  Ids are held as the bytes of 32-bit numbers.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_bytes: int = 32 << 20) -> None:
+        self.vocabulary, self.most_bytes = vocabulary, most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if self.held > self.most_bytes // 2:
+            self.young, self.old, self.held = {}, self.young, 0
+        split, young, old = self.vocabulary.pattern.findall, self.young, self.old
         found = [split(t) for t in texts]
         seen: set[str] = set()
         for pieces in found:
             seen.update(pieces)
-        new = {p.encode(): p for p in seen.difference(self.shown)}
-        for piece, ids in self.vocabulary.encode_pieces(new).items():
-            text = new[piece]
-            self.ids[text] = ids
-            self.shown[text] = " ".join(map(str, ids))
-            self.decoded[text] = self.vocabulary.decode(ids)
-        return found
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for p in pieces for i in self.ids[p]] for pieces in self.pieces(texts)]
-
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the ids as text, SHA-256 of the bytes that they decode to."""
-        for pieces in self.pieces(texts):
-            shown = " ".join(map(self.shown.__getitem__, pieces))
-            decoded = b"".join(map(self.decoded.__getitem__, pieces))
-            yield (
-                shown.count(" ") + 1 if shown else 0,
-                hashlib.sha256(shown.encode()).hexdigest(),
-                hashlib.sha256(decoded).hexdigest(),
-            )
+        seen.difference_update(young)
+        kept = {piece: old[piece] for piece in seen.intersection(old)}
+        seen.difference_update(kept)
+        new = [*seen]
+        raw = [piece.encode() for piece in new]
+        ids = self.vocabulary.encode_pieces(raw)
+        kept.update(zip(new, map(ids.__getitem__, raw), strict=True))
+        young.update(kept)
+        self.held += 250 * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, kept.values()))
+        return [np.frombuffer(b"".join(map(young.__getitem__, pieces)), dtype="<i4") for pieces in found]
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the ids as text, and of the bytes that they decode to."""
+        numbers = ids.tolist()
+        shown = " ".join(map(self.vocabulary.names.__getitem__, numbers))
+        return hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(self.vocabulary.decode(numbers)).hexdigest()
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}
 
 
 def encoder_of(blob: bytes, pattern: str) -> Encoder:
-    """This worker's encoder for a rank file; it outlives the task."""
+    """This worker's encoder for a rank file; its vocabulary outlives the task."""
     key = (hash(blob), pattern)
     if key not in _encoders:
+        _encoders.clear()
         _encoders[key] = Encoder(Vocabulary(blob, pattern))
     return _encoders[key]
 
@@ -247,20 +259,22 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(blob.value, pattern)
-        for part in slices(batches):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            columns: dict = {"doc_id": part.column("doc_id")}
-            if digests:
-                rows = list(encoder.digests(texts))
-                columns["n_tokens"] = pa.array([r[0] for r in rows], pa.int64())
-            if ids:
-                found = encoder.encode(texts)
-                columns["n_tokens"] = pa.array([len(x) for x in found], pa.int64())
-                columns["ids"] = pa.array(found, pa.list_(pa.int32()))
-            if digests:
-                columns["ids_sha256"] = pa.array([r[1] for r in rows], pa.string())
-                columns["decoded_sha256"] = pa.array([r[2] for r in rows], pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for part in slices(batches):
+                found = encoder.arrays([t or "" for t in part.column("text").to_pylist()])
+                sizes = [len(x) for x in found]
+                columns: dict = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())}
+                if ids:
+                    ends = np.cumsum([0, *sizes], dtype=np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                if digests:
+                    rows = [encoder.digests(x) for x in found]
+                    columns["ids_sha256"] = pa.array([r[0] for r in rows], pa.string())
+                    columns["decoded_sha256"] = pa.array([r[1] for r in rows], pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            encoder.forget()
+            release()
 
     return source.mapInArrow(run, schema)
 
