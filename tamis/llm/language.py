@@ -2,8 +2,8 @@
 
 Training takes a bounded, reproducible sample of the labelled texts of each language
 and joins it to a raw-content zstandard dictionary.  Prediction compresses each block of a
-text with every language's dictionary; the language with the fewest bytes over the
-whole text wins.  Before that, training and tested texts alike are lower-cased and their runs of
+text (4 KiB, the last one what is left) with every language's dictionary, at one level for texts of
+any length; the language with the fewest bytes over the whole text wins.  Before that, training and tested texts alike are lower-cased and their runs of
 other characters than letters become one space, so capitals, digits and markup weigh
 nothing.  The score is the winner's softmax weight over those byte counts, so it is
 near 1 / languages when they tie, and narrow margins are marked as rejected.
@@ -11,7 +11,8 @@ near 1 / languages when they tie, and narrow margins are marked as rejected.
 ``und`` with score 0 stands for a null text and a text without a letter (Unicode category L);
 so for empty texts.  With no labelled rows at all, or an empty training
 table, every text is ``und``.  Ties go to the language with the most training text, then to the name that sorts first.  Repeated
-rows get equal answers.  Only the named columns are read.
+rows get equal answers.  Very long texts are taken whole, block by block.  A row without an id is not held out.  Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -90,12 +91,9 @@ def learn(
 class Classifier:
     """Compressors of all languages, prepared once."""
 
-    def __init__(self, dictionaries: dict[str, bytes], block: int = 4096, level: int = 3, short: int = 512, short_level: int = 19) -> None:
-        self.languages = list(dictionaries)
-        self.block, self.short = block, short
+    def __init__(self, dictionaries: dict[str, bytes], block: int = 4096, level: int = 12) -> None:
+        self.languages, self.block = list(dictionaries), block
         self.packers = [self._packer(dictionaries[lang], level) for lang in self.languages]
-        # short texts leave few bytes to tell languages apart: they get the thorough match search
-        self.thorough = [self._packer(dictionaries[lang], short_level) for lang in self.languages]
 
     @staticmethod
     def _packer(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -106,8 +104,6 @@ class Classifier:
     def sizes(self, text: str) -> list[int]:
         """Compressed bytes of a whole text, for each language."""
         raw = letters(text)
-        if len(raw) <= self.short:
-            return [len(packer.compress(raw)) for packer in self.thorough]
         blocks = [raw[at : at + self.block] for at in range(0, len(raw), self.block)]
         return [sum(len(packer.compress(b)) for b in blocks) for packer in self.packers]
 
@@ -156,5 +152,5 @@ def identify(
 
 
 def held_out(id_column: Column) -> Column:
-    """Rows that training never sees: CRC-32 of the id's digits is 2 modulo 4."""
-    return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+    """Rows that training never sees: CRC-32 of the id's digits is 2 modulo 4; false for a null id."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
