@@ -4,8 +4,9 @@ Decoders: Netpbm P1-P6 (plain and raw, 8 and 16 bits), BMP with 8, 24 or 32 bits
 Resizing averages exact areas by an integral image, so a pixel that straddles a border counts by
 its share.  The difference hash compares neighbours of a grey 9 x 8 reduction.
 
-Media that cannot be decoded, and null media, give null tiles and hashes, never a failure.  A text becomes
-media by :func:`pack`: its UTF-8 bytes (null: none), zeros up to a positive multiple of 64, as a raw PGM that is 64
+Media that cannot be decoded, and null media, give null tiles and hashes, never a failure: sizes are held against the bytes that are
+there, and samples against the maximum that the header states, before anything is allocated.  Tiles are scaled by that maximum to 0 to 255.
+Very large media and texts are taken whole; a row needs about 20 times its bytes of memory for a moment.  A text becomes media by :func:`pack`: its UTF-8 bytes (null: none), zeros up to a positive multiple of 64, as a raw PGM that is 64
 pixels wide, so an empty text is one row of zeros.  Rows are worked on alone: repeated rows agree, an empty
 table gives an empty result, and other columns are never read.
 """
@@ -27,7 +28,7 @@ from tamis.llm.batches import slices
 from tamis.shared import col
 
 WIDTH = 64
-_TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
+_TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 
 
 # -- formats ------------------------------------------------------------------
@@ -39,8 +40,8 @@ def pack(data: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, rows) + data.ljust(rows * width, b"\0")
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """Samples of a PBM, PGM or PPM as (rows, columns, channels); black bits are 0, white 255."""
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples of a PBM, PGM or PPM as (rows, columns, channels), and their maximum; black bits are 0, white 255."""
     kind = data[:2]
     if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("not a Netpbm image")
@@ -52,26 +53,37 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         fields.append(int(token[1]))
         at = token.end()
     width, height = fields[:2]
-    most = fields[2] if len(fields) > 2 else 1
-    channels = 3 if kind in (b"P3", b"P6") else 1
-    count = width * height * channels
+    most = fields[2] if len(fields) > 2 else 255
     if width < 1 or height < 1 or not 1 <= most <= 65535:
         raise ValueError("sizes out of range")
+    channels = 3 if kind in (b"P3", b"P6") else 1
+    count, stride = width * height * channels, -(-width // 8)
+    raw_bytes = {b"P4": stride * height, b"P5": count, b"P6": count}.get(kind)
+    if raw_bytes is None:
+        if count > len(data) - at:  # a plain sample has one byte at least
+            raise ValueError("the image ends early")
+    elif raw_bytes * (2 if most > 255 else 1) > len(data) - at - 1:
+        raise ValueError("the image ends early")
     if kind == b"P4":
-        stride = -(-width // 8)
-        raw = np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride)
-        return np.where(np.unpackbits(raw, axis=1)[:, :width], 0, 255).astype(np.uint8)[:, :, None]
+        raw = np.frombuffer(data, np.uint8, raw_bytes, at + 1).reshape(height, stride)
+        return np.where(np.unpackbits(raw, axis=1)[:, :width], 0, 255).astype(np.uint8)[:, :, None], most
     if kind == b"P1":
-        bits = re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:count]
-        flat = np.where(np.frombuffer(bits, np.uint8) == ord("1"), 0, 255).astype(np.uint8)
+        bits = np.frombuffer(re.sub(rb"#[^\n]*\n|\s", b"", data[at:])[:count], np.uint8)
+        if ((bits != ord("0")) & (bits != ord("1"))).any():
+            raise ValueError("a bit is neither 0 nor 1")
+        flat = np.where(bits == ord("1"), 0, 255).astype(np.uint8)
     elif kind in (b"P2", b"P3"):
-        words = re.sub(rb"#[^\n]*\n", b"\n", data[at:]).split()[:count]
-        flat = np.array([int(w) for w in words], dtype=np.uint16 if most > 255 else np.uint8)
+        samples = [int(w) for w in re.sub(rb"#[^\n]*\n", b"\n", data[at:]).split()[:count]]
+        if samples and not 0 <= min(samples) <= max(samples) <= most:
+            raise ValueError("a sample is out of range")
+        flat = np.array(samples, dtype=np.uint16 if most > 255 else np.uint8)
     else:
         flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, count, at + 1)
+        if most not in (255, 65535) and flat.max() > most:
+            raise ValueError("a sample is out of range")
     if len(flat) != count:
         raise ValueError("the image ends early")
-    return flat.reshape(height, width, channels)
+    return flat.reshape(height, width, channels), most
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -82,19 +94,28 @@ def decode_bmp(data: bytes) -> np.ndarray:
     width, height, _, depth, packed = struct.unpack_from("<iiHHI", data, 18)
     if packed not in (0, 3) or depth not in (8, 24, 32) or width < 1 or height == 0:
         raise ValueError("this kind of BMP is not supported")
-    stride = (width * depth // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, stride * abs(height), offset).reshape(abs(height), stride)
-    rows = rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)
+    stride, height_ = (width * depth // 8 + 3) // 4 * 4, abs(height)
+    if offset + stride * height_ > len(data):
+        raise ValueError("the image ends early")
+    rows = np.frombuffer(data, np.uint8, stride * height_, offset).reshape(height_, stride)
+    rows = rows[:, : width * depth // 8].reshape(height_, width, depth // 8)
     rows = rows if height < 0 else rows[::-1]
     if depth == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
+        if colours > 256 or 14 + header + 4 * colours > len(data) or rows.max() >= colours:
+            raise ValueError("a palette out of range")
         palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + header).reshape(colours, 4)[:, 2::-1]
         return palette[rows[:, :, 0]]
     return rows[:, :, 2::-1]
 
 
+def samples_of(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples of an image, and the largest value that its format allows them."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
+
+
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    return samples_of(data)[0]
 
 
 # -- features -----------------------------------------------------------------
@@ -124,10 +145,10 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def tile(image: np.ndarray, side: int) -> bytes:
-    """The image area-resized to a square of 8-bit samples, in NPY format."""
+def tile(image: np.ndarray, side: int, most: int = 255) -> bytes:
+    """The image area-resized to a square of 8-bit samples, ``most`` as 255, in NPY format, row by row."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.ascontiguousarray(np.rint(np.round(area_resize(image, side, side) * (255 / most), 6)).astype(np.uint8)))
     return out.getvalue()
 
 
@@ -144,11 +165,11 @@ def tiles(media: DataFrame, side: int = 32, id_col: str = "doc_id", media_col: s
             rows = []
             for data in part.column("media").to_pylist():
                 try:
-                    image = decode(data or b"")
-                except (ValueError, struct.error, IndexError):
+                    image, most = samples_of(data or b"")
+                except (ValueError, struct.error):
                     rows.append((None,) * 5)
                     continue
-                rows.append((*image.shape, tile(image, side), difference_hash(image)))
+                rows.append((*image.shape, tile(image, side, most), difference_hash(image)))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
             arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
