@@ -8,9 +8,11 @@ trimmed to its target, or a few closing slots fill what the points left open: a
 target's words, rounded, and no more.
 
 Size is the number of runs outside ``\\x20`` and ``\\x09``-``\\x0D``; null and empty texts have none and are never taken.
-Sources are ordered by code point with null last; null is a source like any other.  Repeated rows hold places of their own; as
-they are alike, it does not matter which is which.  Empty tables give empty results, and a source without words has target 0.
-Only the named columns are read.
+Very long texts are cut over as many slots as they reach into.  Sources are ordered by code point with null last; null is a source like any
+other, and so is a null id an id.  Rows that repeat one source, id and text are counted first and laid in chunks of ``COPIES`` that have places of
+their own, so no row or id that comes very often meets in one task; as they are alike, it does not matter which is which.  Ties of the hashed order
+are broken by id, size and text.  Empty tables give empty results, and a source without words has target 0.  Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.llm.quality import words_of
-from tamis.shared import col, materialise
+from tamis.shared import col, materialise, unused
 
 GOLDEN = 0x9E3779B97F4A7C15  # 2 ** 64 / phi, an odd number
 CHUNK = 1 << 16
+#: Repeats of one row that lie together.
+COPIES = 1 << 10
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most_repeats: float = 3.0) -> list[float]:
@@ -143,10 +147,10 @@ def mix(
         col(source_col).alias("source"),
         F.size(words_of(text)).cast("long").alias("size"),
         F.xxhash64(col(text_col)).alias("text_hash"),
-        F.xxhash64(F.lit(seed), col(id_col)).alias("place"),
     )
+    sized = sized.groupBy("source", "doc_id", "size", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     sized = materialise(sized, "mix-sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # a row for each source
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"), F.sum("copies").alias("rows")).collect()  # a row for each source
     found.sort(key=lambda r: (r["source"] is None, r["source"]))
     sizes, rows = [r["n"] for r in found], sum(r["rows"] for r in found)
     cycle = [weights[i % len(weights)] for i in range(len(found))]
@@ -162,13 +166,18 @@ def mix(
 
     # offsets of the documents in their source's stream: sums inside hashed buckets, then over the buckets
     buckets = max(1, math.isqrt(rows))
+    named = named.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    named = named.withColumn("copies", F.least(F.col("copies") - F.col("chunk") * COPIES, F.lit(COPIES)))
+    named = named.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "chunk"))
     named = named.withColumn("bucket", F.pmod(F.shiftright("place", 20), F.lit(buckets)))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("place", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    held = named.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
+    words = F.col("size") * F.col("copies")
+    inside = Window.partitionBy("source_no", "bucket").orderBy("place", "doc_id", "size", "text_hash", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    held = named.groupBy("source_no", "bucket").agg(F.sum(words).alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = held.select("source_no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    laid = named.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_no", "bucket"])
-    laid = laid.withColumn("lo", F.col("base") + F.col("local")).withColumn("hi", F.col("lo") + F.col("size"))
+    laid = named.withColumn("local", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(bases, ["source_no", "bucket"])
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    laid = laid.withColumn("lo", F.col("base") + F.col("local") + F.col("copy") * F.col("size")).withColumn("hi", F.col("lo") + F.col("size"))
 
     # slots and documents meet in cells of a block's words of the stream's first round
     slots = schedule(spark, goals, block).join(_small(sources.select("source_no", "source_size"), len(found)), "source_no")
@@ -221,7 +230,8 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, carry_hash=True, **options)
     times = F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int")
-    copies = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(times.alias("__times")).where("__times > 0")
-    joined = docs.join(copies, col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text_col)) == F.col("__hash")))
-    repeated = joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    id_, hash_, times_, time = (unused(n, docs) for n in ("id", "hash", "times", "time"))
+    copies = taken.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(times.alias(times_)).where(F.col(times_) > 0)
+    joined = docs.join(copies, col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(col(text_col)) == F.col(hash_)))
+    repeated = joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times_))))
     return repeated.select(*[col(c) for c in docs.columns])
