@@ -11,10 +11,14 @@ each of their UTF-8 bytes where the vocabulary has all byte pieces.
 
 A text becomes ``▁`` followed by the text with each space as ``▁``.  No piece may hold
 ``▁`` after another character, so a text's best segmentation is that of its runs of
-spaces with the word that follows, each of which is solved once and remembered.
+spaces with the word that follows, each of which is solved once and remembered.  (Runs can be cut
+apart because every run begins with ``▁`` and no piece goes over that start: the vocabulary must hold ``▁`` itself, so that
+an unknown ``▁`` never joins the unknown end of the run before.)
 
 Null and empty texts have no tokens (score 0).  Rows are counted alone: repeated rows
-agree, an empty table gives an empty result, and other columns are never read.
+agree, an empty table gives an empty result, and other columns are never read.  Very long texts are taken whole, run by run.
+
+A worker keeps the automaton for its next task.  What it remembers of runs is bounded in bytes and goes when the task ends.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamis.llm.batches import slices
+from tamis.llm.batches import release, slices
 from tamis.shared import col
 
 SPACE_MARK = "▁"
@@ -43,9 +47,9 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts for one vocabulary, with a bounded memory of runs that it has solved."""
+    """Counts for one vocabulary, with a memory of runs that it has solved, bounded in bytes."""
 
-    def __init__(self, pieces: list[tuple[str, float]], remember: int = 500_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], most_bytes: int = 32 << 20) -> None:
         self.automaton = ahocorasick.Automaton()
         for piece, score in reversed(pieces):  # of equal pieces the first counts
             self.automaton.add_word(piece, (len(piece), score))
@@ -53,11 +57,17 @@ class Counter:
         if any(SPACE_MARK in piece.lstrip(SPACE_MARK) for piece, _ in pieces):
             raise ValueError(f"a piece holds {SPACE_MARK} after another character")
         known = {piece for piece, _ in pieces}
+        if SPACE_MARK not in known:
+            raise ValueError(f"the vocabulary has no {SPACE_MARK}")
         self.single = {piece for piece in known if len(piece) == 1}
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in known for b in range(256))
-        self.remember = remember
+        self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
         self.solved: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def solve(self, run: str) -> tuple[int, float]:
         """Tokens and score of the best segmentation of a string."""
@@ -93,11 +103,12 @@ class Counter:
         if not text:
             return 0, 0.0
         runs = _RUNS.findall(" " + text.replace(SPACE_MARK, " "))
+        if self.held > self.most_bytes:
+            self.forget()
         solved = self.solved
-        if len(solved) > self.remember:
-            solved.clear()
         for run in set(runs).difference(solved):
             solved[run] = self.solve(run.replace(" ", SPACE_MARK))
+            self.held += 300 + 4 * len(run)
         tokens, score = 0, 0.0
         for run in runs:
             t, s = solved[run]
@@ -110,9 +121,10 @@ _counters: dict[int, Counter] = {}
 
 
 def counter_of(pieces: list[tuple[str, float]]) -> Counter:
-    """This worker's counter for a vocabulary; it outlives the task."""
+    """This worker's counter for a vocabulary; its automaton outlives the task."""
     key = hash(tuple(pieces))
     if key not in _counters:
+        _counters.clear()
         _counters[key] = Counter(pieces)
     return _counters[key]
 
@@ -127,14 +139,18 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(sent.value)
-        for part in slices(batches):
-            found = [counter.count(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": part.column("doc_id"),
-                    "n_tokens": pa.array([t for t, _ in found], pa.int64()),
-                    "score": pa.array([s for _, s in found], pa.float64()),
-                }
-            )
+        try:
+            for part in slices(batches):
+                found = [counter.count(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": part.column("doc_id"),
+                        "n_tokens": pa.array([t for t, _ in found], pa.int64()),
+                        "score": pa.array([s for _, s in found], pa.float64()),
+                    }
+                )
+        finally:
+            counter.forget()
+            release()
 
     return source.mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, score double")
