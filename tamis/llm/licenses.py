@@ -1,13 +1,17 @@
 """License scans: canonical digests of entire texts, looked up among digests of known licences.
 
-The canonical form of a text drops what does not tell licences apart: A-Z become lower case; lines that are only a copyright
-notice (``copyright``, ``copyright:``, ``(c)`` or ``©`` with a year, a name or a placeholder) and ``all rights reserved`` lines go; runs of
-anything but letters and digits become one space; equivalent spellings become one.  The SHA-256 of the form is joined to the known
-ones.  A line about copyright that goes on as a sentence, such as ``copyright holders be liable`` or ``(c) You must retain``, stays.
-
-A null text has the form and digest of an empty one and matches nothing, as does a text without letters or digits.  Rows are looked up
-alone: repeated rows agree; an empty table gives an empty result; of known licences with one digest the first name counts.  Only
-the named columns are read.
+The canonical form of a text drops what does not tell licences apart: lines that are only a copyright notice, or only say that all
+rights are reserved, go; A-Z become lower case; runs of anything but letters and digits become one space; equivalent spellings become one.
+The SHA-256 of the form is joined to the known ones.
+
+A line is a notice if it is one from its first to its last sign: comment marks, ``copyright``, ``(c)`` or ``©``, then years, names
+and placeholders without an end of a sentence, without verbs or words of grants and limits, perhaps ``all rights reserved``, and
+``NOTICE_LENGTH`` characters at most.  A line that says more, such as ``copyright holders be liable``, ``(c) You must retain`` or
+``All rights reserved. Commercial use is forbidden.``, stays whole, so a text with terms of its own never matches.
+
+A null text has the form and digest of an empty one and matches nothing, as does a text without letters or digits.  Very long texts are taken whole.
+Rows are looked up alone: repeated rows agree; an empty table gives an empty result; of known licences with one digest the first name
+counts.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,36 +21,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.known_licenses import EVERY, KNOWN
+from tamis.llm.known_licenses import EVERY
 from tamis.shared import col
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line, with the break before it, that only states a copyright; in lower case.
-NOTICE = r"\n[ \t\r#*/;.-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by )|\(c\)[ \t]*[0-9<\[{a-z]|©|all rights reserved)[^\n]*"
-# Words that go on a sentence after ``copyright`` or ``(c)``, and words that no plain name holds.
+NOTICE_LENGTH = 300
+# Words that go on a sentence after ``copyright`` or ``(c)``.
 _GOES_ON = (
-    "holders? owners? notices? licen[cs]e(?:s|d|es)? licensors? laws? lines? statements? interests? rights? protections? infring\\w* claims? ownership status "
+    r"holders? owners? notices? licen[cs]e(?:s|d|es)? licensors? laws? lines? statements? interests? rights? protections? infring\w* claims? ownership status "
     "disclaimers? treat(?:y|ies) acts? permissions? management terms? grants? information headers? polic(?:y|ies) assignments? materials? violations? directives? "
     "conventions? subject works? and or on in of to is are was for as that which with may shall must also does means like you your it its an? if when where "
-    "under by neither either nor each every such no not all any this these redistributions?"
+    "under neither either nor each every such no not all any this these redistributions?"
 ).split()
+# Words that no plain name holds, in lower case or capitals, and in any case.
 _SENTENCE = (
     "is are be was shall must may will hereby granted provided permission permitted warranty warranties liable liability notice notices means that which you "
     "your not redistribution redistributions redistribute distribute distributed this these licensed following without any if unless except nor under retain reproduce"
 ).split()
-# Last words of names that are written in lower case.
+_TERMS = "use uses used using forbidden prohibited excluded allowed permitted granted grants void revoked restricted except unless hereby must shall only".split()
+# Last words of names that are written in lower case, and words that end in a point inside a name.
 _BODIES = "inc|ltd|llc|corp|corporation|gmbh|company|authors?|contributors?|foundation|project|developers?|maintainers?|team|community|university"
-_PLAIN = rf"(?![^\n]*[ \t](?:{'|'.join([*_SENTENCE, *map(str.upper, _SENTENCE)])})(?:[ \t,.;:)\r\n]|\z))"
-_LAST = r"[ \t\r*/#.>-]*(?=\n|\z)"
-#: A line, with the break before it, that states a copyright by a name or after a colon; in its own case.
-NAMED = (
-    r"\n[ \t\r#*/;.%!|<>-]*(?:(?i:copyright)(?:[ \t]*:)?|\([cC]\))[ \t]*(?:\([cC]\)|©)?[ \t]*"
-    rf"(?!(?i:{'|'.join(_GOES_ON)})(?![\p{{L}}\p{{N}}_])){_PLAIN}"
-    rf"(?:(?:(?:[Tt]he|THE)[ \t]+)?[\p{{Lu}}\p{{Lo}}][^\n]{{0,200}}(?=\n|\z)|(?i:[\p{{L}}][^\n]{{0,200}}?(?<![\p{{L}}])(?:{_BODIES})){_LAST}"
-    rf"|(?<=\([cC]\)[ \t]{{0,9}})[\p{{Ll}}][^\s]*(?:[ \t]+[^\s]+){{0,3}}{_LAST}|(?<=:[ \t]{{0,9}})[\p{{L}}\p{{N}}(<\[{{][^\n]{{0,200}}(?=\n|\z))"
+_SHORT = r"\p{L}|(?i:inc|ltd|corp|co|llc|gmbh|st|dr|jr|sr|mr|ms|mrs|dept|univ|assoc|bros|al)"
+
+_BEFORE, _AFTER, _S = r"^[ \t\r#*/;.%!|<>-]*", r"[ \t\r*/#.>|;-]*$", r"[ \t]"
+_C, _SIGN, _WORD = r"\([cC]\)", r"(?:\([cC]\)|©)", r"(?i:copyright)"
+_EDGE, _END = r"(?:^|[ \t(,;:/\"'])", r"(?:[ \t\r,.;:!?)/\"']|$)"
+_HEAD = rf"(?:{_WORD}|{_SIGN})(?:[ \t:,]*(?:{_WORD}|{_SIGN}))*[ \t:,]*"
+_NAME = rf"(?:(?:{_SHORT})\.|[^ \t\r]*[^ \t\r.,!?;:]),*"
+_RESERVED = r"(?i:all[ \t]+rights[ \t]+reserved)[.!]?"
+
+#: What any notice holds; a cheap test of whole texts and of lines.
+MENTION = r"(?i)copyright|\(c\)|©|all[ \t]+rights[ \t]+reserved"
+#: A notice from its first to its last sign.
+WHOLE = rf"{_BEFORE}(?:{_HEAD}{_NAME}(?:{_S}+{_NAME})*[.,;]?(?:{_S}*{_RESERVED})?|{_RESERVED}){_AFTER}"
+#: How one begins or ends: a sign or colon, a name with a capital, a body's name, a year; ``(c)`` alone may number a clause.
+SHAPE = (
+    rf"{_BEFORE}(?:(?:{_WORD}{_S}*(?::{_S}*(?:{_SIGN}{_S}*)?|{_SIGN}{_S}*)|{_SIGN}{_S}*{_WORD}{_S}*:?{_S}*|©{_S}*)(?i:by[ \t]+)?[\p{{L}}\p{{N}}(<\[{{\"']"
+    rf"|{_WORD}{_S}+(?i:by[ \t]+)?(?:(?:[Tt]he|THE){_S}+)?[\p{{Lu}}\p{{Lo}}0-9<\[{{\"']"
+    rf"|{_C}{_S}*[0-9<\[{{]|{_C}{_S}*[^ \t\r]+{_AFTER}|{_RESERVED})"
+    rf"|{_BEFORE}{_WORD}{_S}+[^\n]*[^\p{{L}}](?i:{_BODIES}){_AFTER}"
 )
-#: As ``NOTICE``, which the SQL uses, but ``(c)`` alone needs more than a letter: it may number a clause.
-STATED = NOTICE.replace(r"\(c\)[ \t]*[0-9<\[{a-z]", r"\(c\)[ \t]*([0-9<\[{]|copyright)")
+CLAUSE = rf"{_BEFORE}{_C}{_S}*[\p{{Lu}}\p{{Lo}}]|{_BEFORE}{_C}{_S}+[^\n]*[^\p{{L}}](?i:{_BODIES}){_AFTER}"
+ARTICLE = rf"{_EDGE}(?:the|a|an|to|for|with|all|each|every|from|of){_END}"
+GOES_ON = rf"{_BEFORE}{_HEAD}(?i:{'|'.join(_GOES_ON)}){_END}"
+SAYS = rf"{_EDGE}(?:{'|'.join([*_SENTENCE, *map(str.upper, _SENTENCE)])}|(?i:{'|'.join(_TERMS)})){_END}"
 OTHER = r"[^\p{L}\p{N}]+"
 
 # Spellings that are read as equal, in canonical form.
@@ -58,11 +76,19 @@ SPELLINGS = (
 )
 
 
+def is_notice(line: Column) -> Column:
+    """Whether a line is a copyright notice and nothing else."""
+    begins = line.rlike(SHAPE) | (line.rlike(CLAUSE) & ~line.rlike(ARTICLE))
+    said = line.rlike(MENTION) & line.rlike(WHOLE) & begins & ~line.rlike(GOES_ON) & ~line.rlike(SAYS)
+    return F.when(F.length(line) <= NOTICE_LENGTH, said).otherwise(F.lit(False))
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    form = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), NAMED, "")
-    form = F.regexp_replace(F.translate(form, UPPER, LOWER), STATED, "")
-    form = F.trim(F.regexp_replace(form, OTHER, " "))
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda line: ~is_notice(line))
+    form = F.when(whole.rlike(MENTION), F.array_join(lines, "\n")).otherwise(whole)
+    form = F.trim(F.regexp_replace(F.translate(form, UPPER, LOWER), OTHER, " "))
     for one, other in SPELLINGS:
         form = F.replace(form, F.lit(one), F.lit(other))
     return form
@@ -82,16 +108,21 @@ def license_scan(
     return digests.join(names, F.col("digest") == F.col("known"), "left").select("doc_id", "digest", "license_id")
 
 
-def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """DuckDB SQL for :func:`license_scan` over ``documents``; it names the eight short texts only."""
+def oracle(known: Sequence[tuple[str, str]] = EVERY) -> str:
+    """DuckDB SQL for :func:`license_scan` over ``documents``, with the whole texts of all known licences."""
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
+    def matches(pattern: str) -> str:
+        return f"regexp_matches(x, {quoted(pattern)})"
+
+    begins = f"({matches(SHAPE)} OR ({matches(CLAUSE)} AND NOT {matches(ARTICLE)}))"
+    notice = f"length(x) <= {NOTICE_LENGTH} AND {matches(MENTION)} AND {matches(WHOLE)} AND {begins} AND NOT {matches(GOES_ON)} AND NOT {matches(SAYS)}"
+
     def form(text: str) -> str:
-        out = f"chr(10) || translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-        out = f"regexp_replace({out}, {quoted(NOTICE)}, '', 'g')"
-        out = f"trim(regexp_replace({out}, {quoted(OTHER)}, ' ', 'g'), ' ')"
+        out = f"array_to_string(list_filter(string_split(coalesce({text}, ''), chr(10)), lambda x: NOT ({notice})), chr(10))"
+        out = f"trim(regexp_replace(translate({out}, '{UPPER}', '{LOWER}'), {quoted(OTHER)}, ' ', 'g'), ' ')"
         for one, other in SPELLINGS:
             out = f"replace({out}, {quoted(one)}, {quoted(other)})"
         return out

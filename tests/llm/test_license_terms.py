@@ -1,0 +1,90 @@
+"""Licences with terms of their own, planted among documents, in Spark and in SQL."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tamis.llm import licenses
+from tamis.llm.known_licenses import EVERY, KNOWN, LONG
+
+MIT = dict(KNOWN)["MIT"]
+HOLDER = "Copyright (c) <year> <copyright holders>"
+TERMS = (
+    "All rights reserved. Commercial use is forbidden and all grants above are void.",
+    "All rights reserved. No commercial use.",
+    "Copyright (c) 2020 Foo. No commercial use.",
+    "Copyright (c) 2020 Foo. All rights reserved. Commercial use is forbidden.",
+    "Copyright (c) 2020 Foo Inc. Military use excluded",
+    "Copyright (c) 2020 Foo; not for resale",
+    "(c) Rename the work before you distribute it",
+    "(c) Pay the author",
+    "(c) pay a fee",
+    "Copyright Foo: all copies must be paid for",
+    "Copyright (c) 2020 Foo, who forbids military purposes: ask first.",
+    "© 2020 Foo. Ask first!",
+    "Copyright (c) 2020 Foo and licensed only for study",
+    "Copyright (c) 2020 Foo, except for schools",
+    "Copyright (c) " + "2020 Foo, " * 40 + "and others",
+)
+NOTICES = (
+    "Copyright (c) 2020 Foo", "Copyright (c) 2019-2021, Foo Bar Inc. and contributors. All rights reserved.", "Copyright 2020 Foo <foo@example.org>", "(c) 2020 by Foo", "© Foo 2020",
+    "All rights reserved.", "// Copyright (C) 1999, 2001 J. R. Foo, Jr.", "Copyright [yyyy] [name of copyright owner]", "Copyright (c) 2020 Foo Ltd., Bar Corp., and others (https://example.org)",
+)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, edge_docs, tmp_path_factory):
+    """Documents with licences, licences with terms added, and others; the expected names of those that are planted."""
+    rows, names = [], {}
+
+    def plant(text, name):
+        names[10**6 + len(rows)] = name
+        rows.append((10**6 + len(rows), text))
+
+    for name, text in KNOWN:
+        head, _, rest = text.partition("\n")
+        plant(text, name)
+        plant(text.upper(), name)
+        if head.isupper() or "icense" in head:
+            plant(rest, name)
+    seen = set()
+    for name, text in EVERY:
+        if name not in seen:
+            seen.add(name)
+            plant(text.replace("\n", "\r\n"), name)
+            plant(text + "\nYou owe the author a drink.\n", None)
+    for line in NOTICES:
+        plant(MIT.replace(HOLDER, line), "MIT")
+        plant(MIT.replace(HOLDER, f"# {line}\n{line}"), "MIT")
+    for line in TERMS:
+        plant(MIT.replace(HOLDER, line), None)
+        plant(MIT + line + "\n", None)
+        plant(line + "\n" + MIT, None)
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = edge_docs.select("doc_id", "text").unionByName(own)
+    path = str(tmp_path_factory.mktemp("planted") / "documents.parquet")
+    whole.write.parquet(path)
+    return spark.read.parquet(path), names
+
+
+def test_planted_licenses(planted):
+    docs, names = planted
+    found = {r.doc_id: r.license_id for r in licenses.license_scan(docs).where(F.col("doc_id") >= 10**6).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert [(texts[i][:80], names[i], found[i]) for i in names if found[i] != names[i]] == []
+    assert {n for n, _ in LONG} <= set(found.values())
+
+
+def test_planted_licenses_in_sql(planted, same_as_sql):
+    docs, names = planted
+    con = duckdb.connect()
+    documents = docs.toArrow()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM documents")
+    same_as_sql(licenses.license_scan(docs), con, licenses.oracle())
+
+
+def test_long_lines_are_read_in_linear_time(spark):
+    rows = [(1, "Copyright (c) " + "Foo, " * 200_000), (2, "(c) <a b> " * 100_000), (3, "copyright " * 200_000), (4, "Copyright (c) " + "<a b>, " * 40 + "!")]
+    assert {r.license_id for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {None}
