@@ -16,7 +16,7 @@ found when that name reaches a sensitive target.  Each literal is scored by its
 look; literals that score enough are spans, without their quotes.  Arguments of calls and subscripts that are
 not named are not read as values.
 
-Spans are code points, end exclusive.  A null or empty text has no spans.  Every row is scanned alone, so
+Spans are code points, end exclusive.  A null or empty text has no spans; very long texts are scanned whole, in linear time.  Every row is scanned alone, so
 repeated rows agree; an empty table gives an empty result; other columns are never read.
 """
 
@@ -92,6 +92,7 @@ _BARE_TERM = re.compile(r"[^\s\"'#;,+()\[\]{}=:]++")
 _ENDS = re.compile(r"\x20*+(?:=(?!=)|:|[(\[{])")
 _RUN = re.compile(r"[^\s\"'#;,]++")
 _CALLEE = re.compile(rf"(?:{_DOTTED})?[(\[{{]", re.ASCII)
+_BRACKETED = re.compile(rf"[(\[{{]++{_DOTTED}[)\]}}]++;?", re.ASCII)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -170,7 +171,8 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 literal = _bare(text, end, run_end, nested, inner)
                 if literal is not None:
                     mine.literals.append(literal)
-        bound[name] = bound[re.split(r"[.\-]", name)[-1]] = mine
+        if mine.literals or mine.parts or _sign(target) != ":":  # ``if name:`` binds nothing
+            bound[name] = bound[re.split(r"[.\-]", name)[-1]] = mine
         weight = name_weight(name)
         if code or weight >= 3:
             reach(mine, weight, text, found)
@@ -254,6 +256,8 @@ def _bare(text: str, lo: int, run_end: int, nested: int | None, inner: bool) ->
     hi = nested if inner and nested is not None else run_end
     if text[run_end : run_end + 1] in ("'", '"') and text[run_end - 1] in "([{=:" and _CALLEE.match(text, lo, hi):
         return None  # the head of a call, a subscript or a list, with a string in it
+    if _BRACKETED.fullmatch(text, lo, hi):
+        return None  # a name that stands for nothing known
     if inner:
         piece = text[lo:hi].rstrip("&?|([{")
         hi = lo + len(piece if any(c in piece for c in "([{") else piece.rstrip(")]}"))

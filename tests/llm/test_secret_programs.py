@@ -1,0 +1,67 @@
+"""Spans of the lexer against an evaluator of generated assignments that knows them as data, not as text."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tamis.llm import secret_scan
+
+SENSITIVE = ("db_password", "apiSecret", "auth_token", "clientSecret", "PRIVATE_KEY_PASSPHRASE")
+QUIET = ("colour", "region", "first", "second", "base", "suffix", "left", "right")
+
+
+def _literal(rng):
+    """A value that looks like a secret, different each time."""
+    return "".join(rng.choice("abcdefghkmnpqrstuvwzABCDEFGHKMNPQRSTUVWZ23456789") for _ in range(rng.randrange(12, 24))) + rng.choice("!@%")
+
+
+def _program(rng):
+    """A text, and the values that reach a sensitive name, in order and without repeats."""
+    lines, bound, secret = [], {}, []
+    for _ in range(rng.randrange(1, 14)):
+        target = rng.choice(SENSITIVE if rng.random() < 0.4 else QUIET)
+        parts, values = [], []
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            if rng.random() < 0.5:
+                value = _literal(rng)
+                quote = rng.choice("\"'")
+                parts.append(f"{quote}{value}{quote}")
+                values.append(value)
+            else:
+                name = rng.choice(QUIET)
+                parts.append(name)
+                values += bound.get(name, [])
+        expression = " + ".join(parts)
+        if rng.random() < 0.2:
+            expression = f"({expression})"
+        style = rng.randrange(5) if target in SENSITIVE else rng.randrange(2)
+        lines.append(
+            (f"{target} = {expression}", f"{target} := {expression}", f"config.{target} = {expression}", f'config["{target}"] = {expression}', f"self.{target} = {expression};")[style]
+        )
+        if target in SENSITIVE:
+            secret = list(dict.fromkeys([*secret, *values]))
+        else:
+            bound[target] = list(dict.fromkeys(values))
+        if rng.random() < 0.2:
+            lines.append(rng.choice(["", "# a remark", "x = 5", "call(one, two)", "if colour:", "}", "the weather was fine"]))
+    return "\n".join(lines) + "\n", secret
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lexed_spans_by_evaluation(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        text, secret = _program(rng)
+        found = [text[lo:hi] for lo, hi in secret_scan.lexed_spans(text)]
+        assert sorted(found) == sorted(secret), text
+        masked = secret_scan.masked(text)
+        assert not any(v in masked for v in secret)
+
+
+def test_very_long_texts_are_scanned_whole(spark):
+    text = "word " * 300_000 + '\ndb_password = "p@ss!w0rd#9"\n' + "word " * 300_000
+    (row,) = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    at = text.index("p@ss")
+    assert f"lexed:{at}:{at + 11}" in row.spans.split(",")
