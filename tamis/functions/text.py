@@ -88,25 +88,29 @@ def markdown_warnings(value: Column) -> Column:
     )
 
 
-def language_words(value: Column) -> Column:
-    """Words made of nothing but plain letters and marked lower-case ones."""
-    runs = F.regexp_extract_all(text_of(value), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    return F.filter(runs, lambda w: w.rlike(f"^[a-zA-Z{VIETNAMESE}]+$"))
-
-
-def language_status(words: Column) -> Column:
-    """``unknown``, ``english``, ``bilingual`` or ``vietnamese`` for an array of words."""
-    total = F.size(words)
-
-    def status(marked: Column) -> Column:
-        return (
-            F.when(total == 0, "unknown")
-            .when(marked < 2, "english")
-            .when(100 * marked >= 15 * total, "vietnamese")
-            .otherwise("bilingual")
-        )
+#: Runs of letters, digits and ``_`` that are plain letters and marked lower-case ones only, and those of them with a marked one.
+_RUN = r"[\p{L}\p{N}_]"
+_START = f"[a-zA-Z{VIETNAMESE}](?<!{_RUN}.)"  # the look back comes after the letter, so it is only taken at letters
+LANGUAGE_WORD = f"{_START}[a-zA-Z{VIETNAMESE}]*+(?!{_RUN})"
+MARKED_WORD = f"{_START}(?:(?<=[{VIETNAMESE}])|[a-zA-Z]*+[{VIETNAMESE}])[a-zA-Z{VIETNAMESE}]*+(?!{_RUN})"
+
 
-    return let(F.size(F.filter(words, lambda w: w.rlike(f"[{VIETNAMESE}]"))), status)
+def language_counts(value: Column) -> Column:
+    """``struct<words, marked>``: words of plain letters and marked lower-case ones, and how many of them hold a mark."""
+    text = text_of(value)
+    marked = F.when(text.rlike(f"[{VIETNAMESE}]"), F.regexp_count(text, F.lit(MARKED_WORD))).otherwise(0)
+    return F.struct(F.regexp_count(text, F.lit(LANGUAGE_WORD)).alias("words"), marked.alias("marked"))
+
+
+def language_status(counts: Column) -> Column:
+    """``unknown``, ``english``, ``bilingual`` or ``vietnamese`` for :func:`language_counts`."""
+    total, marked = counts["words"], counts["marked"]
+    return (
+        F.when(total == 0, "unknown")
+        .when(marked < 2, "english")
+        .when(100 * marked >= 15 * total, "vietnamese")
+        .otherwise("bilingual")
+    )
 
 
 def normal_email(value: Column) -> Column:
@@ -177,11 +181,14 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """A sort key in which runs of digits count as numbers: lower case, digits padded to ``width``."""
+def natural_key(name: Column) -> Column:
+    """A sort key in which runs of digits, however long, count as numbers: lower case, and each run after its length in ten digits."""
     pieces = F.regexp_extract_all(F.lower(text_of(name)), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    padded = F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), width, "0")).otherwise(p))
-    return F.array_join(padded, "")
+
+    def sized(digits: Column) -> Column:
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]"), sized(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p)), "")
 
 
 def html_escaped(value: Column) -> Column:

@@ -28,7 +28,7 @@ def criteria_decompose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requirements_split(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.col("role"), F.lit(" \n--- "), F.substring("text", 1, 20), F.lit("---x"))
+    raw = F.concat(F.col("role"), F.lit(" \n--- "), F.coalesce("text", F.lit("")), F.lit("---x"))
     part = C.split_requirements(raw, F.when(F.col("turn") % 2 == 0, F.lit(" own ")))
     return table(spark, d, "conversations").select("conv_id", "turn", part.alias("s")).select("conv_id", "turn", "s.standard", "s.hidden")
 
@@ -79,7 +79,7 @@ h AS ({_HIT} UNION ALL SELECT doc_id, line_no, line, 'hidden_culture', 4 FROM l
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, line_no) AS ordinal FROM h WHERE line <> '')
 SELECT doc_id, 'crit_' || category || '_' || ordinal AS id, ordinal, line AS text, category, CASE WHEN place = 4 THEN 'hidden' ELSE 'standard' END AS type FROM n""",
     "requirements_split": r"""SELECT conv_id, turn, role AS standard, CASE WHEN turn % 2 = 0 THEN 'own'
-  ELSE regexp_replace(substr(text, 1, 20) || '---x', '^[\s\p{Z}]+', '') END AS hidden FROM conversations""",
+  ELSE regexp_replace(coalesce(text, '') || '---x', '^[\s\p{Z}]+', '') END AS hidden FROM conversations""",
     "category_alias": """SELECT p_partkey, ['technical_skills', 'seniority_title', 'hidden_culture', 'hidden_culture', 'education_certifications', 'technical_skills',
   'work_experience'][p_partkey % 7 + 1] AS category FROM part""",
     "topk_cosine_by_category": """WITH s AS (SELECT q.vec_id AS query_id, q.label::VARCHAR AS category, p.vec_id,

@@ -61,7 +61,7 @@ def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def precedence_union(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     approved = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("approved").alias("folder"))
-    output = orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("output").alias("folder"))
+    output = orders.where("o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0").select("o_orderkey", F.lit("output").alias("folder"))  # a sixth is in both
     return ordering.by_precedence([approved, output], "o_orderkey").select("o_orderkey", "folder")
 
 
@@ -126,11 +126,11 @@ def ordered_distinct_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_matrix(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select(F.hour("ts").alias("round"), "event_type", "event_id")
+    """The whole matrix of hours and event types, a row for each of its cells."""
+    events = table(spark, d, "events").select(F.hour("ts").alias("round"), "event_type")
     scores = events.groupBy("round", "event_type").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    names = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # columns of the result
-    out = consistency.matrix(scores, "round", "event_type", "score", names)
-    return out.select(F.col("round").cast("long").alias("round"), *[F.col(n).alias(f"n_{n}") for n in names if n in ("click", "view")])
+    out = consistency.matrix(scores, "round", "event_type", "score", consistency.names_of(scores, "event_type"))
+    return consistency.cells(out, "round", "event_type", "score").withColumn("round", F.col("round").cast("long"))
 
 
 QUERIES = {
@@ -159,12 +159,12 @@ SELECT conv_id, tier::BIGINT AS tier, row_number() OVER (PARTITION BY conv_id, t
 SELECT *, row_number() OVER (PARTITION BY tier ORDER BY c_custkey) AS rank, count(*) OVER (PARTITION BY tier) AS tier_count FROM t""",
     "first_seen_dedupe": """SELECT name, source, doc_id FROM (SELECT sha256(text) AS name, source, doc_id,
   row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1""",
-    "precedence_union": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'approved' ELSE 'output' END AS folder FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0",
+    "precedence_union": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'approved' ELSE 'output' END AS folder FROM orders",
     "duplicate_suffix": """WITH e AS (SELECT c_custkey, lower(c_mktsegment) || chr((c_custkey % 7 + 97)::INT) AS head FROM customer),
 n AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY c_custkey) AS n FROM e)
 SELECT c_custkey, head || '@x.com' AS email, head || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '@x.com' AS unique_name FROM n""",
     "natural_sort": """SELECT s_suppkey, array_to_string(list_transform(regexp_extract_all(lower(s_name), '([0-9]+|[^0-9]+)', 1),
-  lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p::BIGINT::VARCHAR, 20, '0') ELSE p END), '') AS key FROM supplier""",
+  lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(length(p::BIGINT::VARCHAR)::VARCHAR, 10, '0') || p::BIGINT ELSE p END), '') AS key FROM supplier""",
     "safe_names": r"""SELECT p_partkey, regexp_replace(p_name || '.' || p_type, '[^a-zA-Z0-9_-]', '_', 'g') AS safe,
   regexp_replace(p_name || '.' || p_type, '\.[^.]*$', '') AS stem FROM part""",
     "coalesce_identifier": """SELECT c_custkey, coalesce(nullif(CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN '' END, ''),
@@ -179,5 +179,7 @@ SELECT c_custkey, head || '@x.com' AS email, head || CASE WHEN n > 1 THEN '_' ||
     "ordered_distinct_cap": """WITH f AS (SELECT user_id, event_type, min(event_id) AS first_at FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_at) AS n FROM f)
 SELECT user_id, string_agg(event_type, ',' ORDER BY n) AS first_types FROM r WHERE n <= 3 GROUP BY 1""",
-    "pivot_matrix": """SELECT hour(ts)::BIGINT AS round, count_if(event_type = 'click')::DOUBLE AS n_click, count_if(event_type = 'view')::DOUBLE AS n_view FROM events GROUP BY 1""",
+    "pivot_matrix": """WITH e AS (SELECT hour(ts)::BIGINT AS round, event_type FROM events)
+SELECT round, event_type, (SELECT count(*) FROM e WHERE e.round = r.round AND e.event_type = t.event_type)::DOUBLE AS score
+FROM (SELECT DISTINCT round FROM e) r, (SELECT DISTINCT event_type FROM e) t""",
 }

@@ -13,22 +13,23 @@ from tamis.shared import table
 
 
 def language_status(spark: SparkSession, d: str) -> DataFrame:
-    found = X.let(X.language_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), X.language_status(w).alias("status")))
-    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.n_words", "f.status")
+    counts = table(spark, d, "documents").select("doc_id", X.language_counts(F.col("text")).alias("f"))
+    return counts.select("doc_id", F.col("f.words").cast("long").alias("n_words"), X.language_status(F.col("f")).alias("status"))
 
 
 def markdown_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole text, some with characters that documents lack, and for each eleventh one an empty text under the id below zero."""
     i = F.col("doc_id")
-    # documents hold none of these characters, so some get them here
-    dirty = F.when(i % 11 == 0, F.lit("")).otherwise(
-        F.concat(
-            "text",
-            F.when(i % 3 == 0, F.lit("�")).otherwise(""),
-            F.when(i % 5 == 0, F.lit("\x01\x02")).otherwise(""),
-            F.when(i % 7 == 0, F.lit("\U000f0001")).otherwise(""),
-        )
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    dirty = F.concat(
+        F.coalesce("text", F.lit("")),
+        F.when(i % 3 == 0, F.lit("�")).otherwise(""),
+        F.when(i % 5 == 0, F.lit("\x01\x02")).otherwise(""),
+        F.when(i % 7 == 0, F.lit("\ue000\U000f0001")).otherwise(""),
     )
-    return table(spark, d, "documents").select("doc_id", F.array_join(X.markdown_warnings(dirty), "|").alias("warnings"))
+    blank = docs.where("doc_id % 11 = 0").select((-1 - i).alias("doc_id"), F.lit("").alias("text"))
+    every = docs.select("doc_id", dirty.alias("text")).unionByName(blank)
+    return every.select("doc_id", F.array_join(X.markdown_warnings(F.col("text")), "|").alias("warnings"))
 
 
 def words_only_text(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +120,8 @@ ORACLE_SQL = {
   SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z{X.VIETNAMESE}]+')) AS w FROM documents
 ), c AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(list_filter(w, lambda x: regexp_matches(x, '[{X.VIETNAMESE}]'))) AS m FROM w)
 SELECT doc_id, n_words, CASE WHEN n_words = 0 THEN 'unknown' WHEN m < 2 THEN 'english' WHEN 100 * m >= 15 * n_words THEN 'vietnamese' ELSE 'bilingual' END AS status FROM c""",
-    "markdown_validation": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END
-  || CASE WHEN doc_id % 5 = 0 THEN chr(1) || chr(2) ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(57344) || chr(983041) ELSE '' END END AS t FROM documents)
+    "markdown_validation": f"""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END
+  || CASE WHEN doc_id % 5 = 0 THEN chr(1) || chr(2) ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(57344) || chr(983041) ELSE '' END AS t FROM documents UNION ALL SELECT -1 - doc_id, '' FROM documents WHERE doc_id % 11 = 0)
 SELECT doc_id, concat_ws('|', CASE WHEN NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN '{X.NO_TEXT}' END,
   CASE WHEN contains(t, chr(65533)) THEN '{X.REPLACED}' END, CASE WHEN contains(t, chr(1)) THEN '{X.CONTROL % 2}' END,
   CASE WHEN contains(t, chr(57344)) THEN '{X.PRIVATE % 2}' END) AS warnings FROM t""",

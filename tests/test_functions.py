@@ -42,7 +42,7 @@ def test_markdown_warnings(apply):
 
 
 def test_language_status(apply):
-    status = lambda c: X.language_status(X.language_words(c))
+    status = lambda c: X.language_status(X.language_counts(c))
     assert apply(status, None, "12 3", "plain words", "một từ", "đá " + "plain " * 9, "ít là " + "plain " * 20, "Đá Đá Đá") == [
         "unknown", "unknown", "english", "vietnamese", "english", "bilingual", "unknown",
     ]
@@ -64,6 +64,10 @@ def test_names(apply):
     names = ["x10", "x9", "X2", "x02", "a", "10", "9"]
     keys = apply(X.natural_key, *names)
     assert [n for _, n in sorted(zip(keys, names, strict=True), key=lambda p: p[0])] == ["9", "10", "a", "X2", "x02", "x9", "x10"]
+    long_ = ["x" + "9" * 30, "x1" + "0" * 30, "x1" + "0" * 29 + "1", "x" + "0" * 40 + "5", "x" + "1" * 25 + "2", "x" + "1" * 25 + "3"]
+    keys = apply(X.natural_key, *long_)
+    assert len(set(keys)) == len(keys)
+    assert [n for _, n in sorted(zip(keys, long_, strict=True))] == sorted(long_, key=lambda n: int(n[1:]))
     assert apply(X.html_escaped, '<a href="x">&</a>') == ["&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"]
     assert apply(lambda a, b: X.first_filled(a, b), ("", "x"), (None, ""), ("y", "x")) == ["x", None, "y"]
 
