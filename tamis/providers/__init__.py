@@ -7,9 +7,11 @@ loaded once a task and never travels.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -46,6 +48,73 @@ class StandInJudge:
         )
 
 
+# The document that the stand-in extractor reads out of any text.
+STAND_IN_DOCUMENT = {
+    "position_applied": {"title": "Data engineer"},
+    "self_evaluation": "Builds pipelines that others can run.",
+    "skills_and_specialties": ["Python: batch jobs for 4 years", "SQL: models and tuning for 3 years"],
+    "languages": [
+        {"language": "English", "proficiency": "fluent", "certificates": [{"name": "IELTS", "score": "7.0", "issuing_organization": "British Council", "duration": "2022 - 2024"}]}
+    ],
+    "certifications": [],
+    "work_experience": [
+        {"company_name": "Blue Harbour", "company_description": "logistics", "position": "Data engineer", "duration": "2021 - 2024", "responsibilities": "Loads and checks of daily tables."}
+    ],
+    "basic_information": {"email": "someone@example.org", "phone": "0901234567", "location": "Hà Nội", "other_info": "example.org/someone"},
+    "education_background": [{"university_name": "Open University", "degree": "BSc", "field_of_study": "Computing", "graduation_year": "2020"}],
+    "projects": [{"project_name": "Warehouse", "description": "Moved reports to one table.", "duration": "2023"}],
+}
+
+
+class StandInExtractor:
+    """Answers every prompt with the same document."""
+
+    def generate(self, prompt: str, **context: object) -> str:
+        return json.dumps(STAND_IN_DOCUMENT, ensure_ascii=False, indent=2)
+
+
+def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Means of token states ``(texts, tokens, width)`` over the tokens whose mask is 1; a text without any has zeros."""
+    weight = mask[:, :, None].astype(float)
+    return (states * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+
+
+class TokenModel(Protocol):
+    """Texts to states of their tokens and a mask of those that count."""
+
+    def states(self, texts: list[str], most_tokens: int) -> tuple[np.ndarray, np.ndarray]: ...
+
+
+class HashTokenModel:
+    """Token states of signs hashed from each lower-case word."""
+
+    def __init__(self, width: int = 32) -> None:
+        self.width = width
+
+    def states(self, texts: list[str], most_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        words = [t.lower().split()[:most_tokens] for t in texts]
+        length = max(1, *map(len, words))
+        out, mask = np.zeros((len(texts), length, self.width)), np.zeros((len(texts), length), dtype=int)
+        for i, own in enumerate(words):
+            mask[i, : len(own)] = 1
+            for j, word in enumerate(own):
+                out[i, j] = np.random.default_rng(zlib.crc32(word.encode())).choice((-1.0, 1.0), self.width)
+        return out, mask
+
+
+class PooledEmbedder:
+    """The mean state of a text's tokens, ``batch`` texts at a time; a model's own limit of tokens is its feature."""
+
+    def __init__(self, model: TokenModel, batch: int = 16, most_tokens: int = 512) -> None:
+        self.model, self.batch, self.most_tokens = model, batch, most_tokens
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for at in range(0, len(texts), self.batch):
+            out += mean_pooled(*self.model.states(texts[at : at + self.batch], self.most_tokens)).tolist()
+        return out
+
+
 class HashEmbedder:
     """Vectors of hashed tokens: equal texts are equal, texts that share tokens are near; a blank text is zero."""
 
@@ -53,8 +122,6 @@ class HashEmbedder:
         self.width = width
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
         out = []
         for text in texts:
             vector = [0.0] * self.width

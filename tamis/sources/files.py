@@ -15,11 +15,11 @@ from tamis.providers import Parser
 
 
 def json_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file_name, stem, raw, valid`` of each ``*.json``, sorted by name; files that do not parse stay, as not valid."""
+    """``file_name, stem, raw, valid`` of each ``*.json``; files that do not parse stay, as not valid.  Sort where they are shown."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     named = files.select(file_name(F.col("_metadata.file_path")).alias("file_name"), F.col("value").alias("raw"))
     valid = F.try_parse_json("raw").isNotNull() & F.trim("raw").startswith("{")
-    return named.select("file_name", stem(F.col("file_name")).alias("stem"), "raw", valid.alias("valid")).orderBy("file_name")
+    return named.select("file_name", stem(F.col("file_name")).alias("stem"), "raw", valid.alias("valid"))
 
 
 def scan_folders(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -53,6 +53,34 @@ def parsed_files(spark: SparkSession, path: str, factory: Callable[[], Parser],
     return read.select(name.alias("file_name"), stem(name).alias("stem"), "text", "warnings", "error")
 
 
+# Names of order lists, compared without regard to case.
+ORDER_NAMES = ("evaluation_order.txt", "evaluation_order", ".evaluation_order", "evaluation_order.md", "evaluation-order.txt", "evaluation-order")
+
+
+def find_order_list(spark: SparkSession, folders: Sequence[str]) -> str | None:
+    """The path of an order list: in the first folder that has one by one of its names, in their order, else anywhere below the folders.
+
+    Below a folder, a file whose name begins with ``evaluation_order`` counts too, the first by path.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in (jvm.org.apache.hadoop.fs.Path(f) for f in folders) if p.getFileSystem(conf).exists(p)]
+    for folder in there:
+        names = {s.getPath().getName(): str(s.getPath()) for s in folder.getFileSystem(conf).listStatus(folder) if s.isFile()}
+        exact = next((names[n] for n in ORDER_NAMES if n in names), None)
+        folded = next((names[n] for n in sorted(names) if n.lower() in ORDER_NAMES), None)
+        if exact or folded:
+            return exact or folded
+    for folder in there:
+        files, found = folder.getFileSystem(conf).listFiles(folder, True), []
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().lower() in ORDER_NAMES or path.getName().lower().startswith("evaluation_order"):
+                found.append(str(path))
+        if found:
+            return min(found)
+    return None
+
+
 def order_list(spark: SparkSession, path: str) -> DataFrame:
     """``tier, place, item`` of an order list file."""
     lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))

@@ -34,7 +34,7 @@ def folder(tmp_path):
 
 def test_sources(spark, folder):
     one, two = str(folder / "one"), str(folder / "two")
-    assert [(r.file_name, r.valid) for r in files.json_files(spark, one).collect()] == [("bad.json", False), ("cv_2.json", True)]
+    assert [(r.file_name, r.valid) for r in files.json_files(spark, one).orderBy("file_name").collect()] == [("bad.json", False), ("cv_2.json", True)]
     both = {r.file_name: r.raw for r in files.scan_folders(spark, [one, two]).collect()}
     assert set(both) == {"bad.json", "cv_2.json", "CV_10.json"} and json.loads(both["cv_2.json"]) == DOCUMENT
     assert files.find_file(spark, [one, two], "../x/cv_2.json").count() == 1
