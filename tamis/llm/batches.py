@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,7 +21,6 @@ def slices(batches: Iterator[pa.RecordBatch], most_rows: int = 1024, most_bytes:
 
 def release() -> None:
     """Give the memory that a finished task has freed back to the machine; workers stay for other tasks."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:
