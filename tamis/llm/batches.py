@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def slices(batches: Iterator[pa.RecordBatch], most_rows: int = 1024, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -38,3 +40,15 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
             release()
 
     return whole
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> Iterator[None]:
+    """Jobs that run inside exchange Arrow batches of at most about ``most_bytes`` with their workers; the setting is put back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -260,7 +260,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(blob.value, pattern)
         try:
-            for part in slices(batches):
+            for part in slices(batches, most_bytes=2 << 20):  # the pieces of a text take twenty times its bytes
                 found = encoder.arrays([t or "" for t in part.column("text").to_pylist()])
                 sizes = [len(x) for x in found]
                 columns: dict = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())}
