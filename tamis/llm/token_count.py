@@ -18,7 +18,7 @@ an unknown ``▁`` never joins the unknown end of the run before.)
 Null and empty texts have no tokens (score 0).  Rows are counted alone: repeated rows
 agree, an empty table gives an empty result, and other columns are never read.  Very long texts are taken whole, run by run.
 
-A worker keeps the automaton for its next task.  What it remembers of runs is bounded in bytes and goes when the task ends.
+A worker keeps the automaton for its next task, and what it remembers of runs, which is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tamis.llm.batches import release, slices
+from tamis.llm.batches import releasing, slices
 from tamis.shared import col
 
 SPACE_MARK = "▁"
@@ -47,9 +47,13 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts for one vocabulary, with a memory of runs that it has solved, bounded in bytes."""
+    """Counts for one vocabulary, with a memory of runs that it has solved, bounded in bytes.
 
-    def __init__(self, pieces: list[tuple[str, float]], most_bytes: int = 32 << 20) -> None:
+    Runs are remembered in two generations: when the young one is full, it becomes the old one, and what is not met again until the
+    next time is forgotten.  A run's score and tokens are the parts of one complex number, so that sums are taken at once.
+    """
+
+    def __init__(self, pieces: list[tuple[str, float]], most_bytes: int = 80 << 20) -> None:
         self.automaton = ahocorasick.Automaton()
         for piece, score in reversed(pieces):  # of equal pieces the first counts
             self.automaton.add_word(piece, (len(piece), score))
@@ -66,7 +70,8 @@ class Counter:
         self.forget()
 
     def forget(self) -> None:
-        self.solved: dict[str, tuple[int, float]] = {}
+        self.solved: dict[str, complex] = {}
+        self.old: dict[str, complex] = {}
         self.held = 0
 
     def solve(self, run: str) -> tuple[int, float]:
@@ -74,6 +79,14 @@ class Counter:
         n = len(run)
         low = float("-inf")
         best, count = [0.0] + [low] * n, [0] * (n + 1)
+        if self.single.issuperset(run):  # no character can be unknown
+            for last, (length, score) in self.automaton.iter(run):
+                start = last + 1 - length
+                score += best[start]
+                if score > best[last + 1]:
+                    best[last + 1] = score
+                    count[last + 1] = count[start] + 1
+            return count[n], best[n]
         unknown = [False] * (n + 1)  # the best segmentation ends in an unknown character
         single, penalty = self.single, self.unknown
         closed = 0
@@ -103,18 +116,18 @@ class Counter:
         if not text:
             return 0, 0.0
         runs = _RUNS.findall(" " + text.replace(SPACE_MARK, " "))
-        if self.held > self.most_bytes:
-            self.forget()
-        solved = self.solved
+        if self.held > self.most_bytes // 2:
+            self.solved, self.old, self.held = {}, self.solved, 0
+        solved, old = self.solved, self.old
         for run in set(runs).difference(solved):
-            solved[run] = self.solve(run.replace(" ", SPACE_MARK))
-            self.held += 300 + 4 * len(run)
-        tokens, score = 0, 0.0
-        for run in runs:
-            t, s = solved[run]
-            tokens += t
-            score += s
-        return tokens, score
+            known = old.get(run)
+            if known is None:
+                tokens, score = self.solve(run.replace(" ", SPACE_MARK))
+                known = complex(score, tokens)
+            solved[run] = known
+            self.held += 150 + len(run)
+        total = sum(map(solved.__getitem__, runs))
+        return int(total.imag), total.real
 
 
 _counters: dict[int, Counter] = {}
@@ -137,20 +150,17 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], id_col: str =
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     key_type = source.schema["doc_id"].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(sent.value)
-        try:
-            for part in slices(batches):
-                found = [counter.count(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n_tokens": pa.array([t for t, _ in found], pa.int64()),
-                        "score": pa.array([s for _, s in found], pa.float64()),
-                    }
-                )
-        finally:
-            counter.forget()
-            release()
+        for part in slices(batches):
+            found = [counter.count(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("doc_id"),
+                    "n_tokens": pa.array([t for t, _ in found], pa.int64()),
+                    "score": pa.array([s for _, s in found], pa.float64()),
+                }
+            )
 
     return source.mapInArrow(run, f"doc_id {key_type}, n_tokens bigint, score double")
