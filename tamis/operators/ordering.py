@@ -43,7 +43,7 @@ def parse_order(lines: DataFrame, position: str, line: str, keys: Sequence[str]
 def identifiers(candidates: DataFrame, file_name: str, text: str, names: Sequence[str]) -> DataFrame:
     """``file_name, identifier`` of everything that an order list may call a candidate.
 
-    Addresses found in ``text`` and their parts before ``@`` (three characters and more), the file's name and stem, and the
+    Addresses found in ``text`` and their parts before ``@``, however short, the file's name and stem, and the
     columns ``names``, all in lower case.
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({EMAIL})"), 1)
@@ -88,7 +88,8 @@ def unique_names(rows: DataFrame, name: str, order: str, result: str = "unique_n
     """``rows`` with names made unique in the order of ``order``: ``x@d``, then ``x_2@d``, ``x_3@d`` and so on.
 
     A name that is taken, by a row before or as a made-up one, goes on counting. Only families of names that could meet (``x`` beside
-    ``x_2``) are worked through one by one, as their numbers depend on each other; all others are ranked. ``order`` must be unique in a family.
+    ``x_2``) are worked through one by one, as their numbers depend on each other; all others are ranked. Such a family meets in one task, so
+    it must fit there. ``order`` must be unique in a family.
     """
     local = F.regexp_extract(name, r"^([^@]*)", 1)
     domain = F.when(F.contains(F.col(name), F.lit("@")), F.regexp_extract(name, r"^[^@]*@([^@]*)", 1)).otherwise(F.lit("unknown.com"))
