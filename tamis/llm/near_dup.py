@@ -10,13 +10,12 @@
 Buckets and clusters of more than a block's members are never brought together in one task.  They are split into blocks by a
 hash; each block is first compared with itself and with one common block, which is linear in the members.  Then only the
 members that are not yet in the group's largest component are compared with all blocks, so no link is lost.  A bucket with very many
-such members, as a passage that unlike texts share makes it, is cut by further minima first: ``WAYS`` times, by four places of
-the signature that its own key chooses, and what is left again, up to ``DEPTH`` times.  So its work stays near-linear.
+such members, as a passage that unlike texts share makes it, is dealt anew by the rarest shingles of its members' full sets: of two
+sets at the limit, each has a common shingle among its ``n - ceil(n * percent / 100) + 1`` first ones in any one order, so both meet
+there for certain.  What a bucket's size decides is the way to a link, never whether it is found.
 
 With ``bands = 32`` and ``rows = 4``, a pair of similarity 0.8 shares no bucket with probability 5e-8, and fails the test of
-signatures (80 of 128 minima, where 102 are expected) with probability below 1e-6.  If all buckets that it shares are cut, it meets in none of
-the parts with probability 2e-7: one of the ways keeps it together with 0.41, so a bucket's six lose it with 0.05, and each bucket
-has places of its own.
+signatures (80 of 128 minima, where 102 are expected) with probability below 1e-6, whatever the sizes of its buckets.
 
 Null texts and texts without words have empty sets: they link to nothing, and each is its own component.  Rows with one id count as
 one document; a row without an id links to nothing, has no component and is kept.  Texts of any length are taken whole; an empty
@@ -32,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tamis.llm.batches import releasing, slices, small_batches
 from tamis.llm.components import components
@@ -42,9 +42,11 @@ BLOCK = 256
 BLOCK_SHINGLES = 1 << 17
 #: Up to so many rows of two numbers are broadcast; beyond, the join is shuffled.
 MOST_BROADCAST = 1_000_000
-#: Groups with over so many blocks of members outside the largest component are cut by further minima.
+#: Groups with over so many blocks of members outside the largest component are dealt into smaller ones.
 CROWDED = 8
 WAYS, PLACES, DEPTH = 6, 4, 3
+#: Shingles are counted in 2 ** RARITY_BITS bins, by their leading bits.
+RARITY_BITS = 20
 
 
 # -- kernels ------------------------------------------------------------------
@@ -82,6 +84,71 @@ def features(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> D
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary")
 
 
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with its last column, ``text``, as sorted distinct ``shingles``."""
+    carried = docs.columns[:-1]
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            values, offsets = shingle_sets([t.encode() if t else None for t in part.column("text").to_pylist()], width)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), lists], names=[*carried, "shingles"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:-1], StructField("shingles", ArrayType(LongType()))]))
+
+
+def _lists(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a batch's ``shingles``, and where each row's begin and end in them."""
+    lists = part.column("shingles")
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+def _bins(values: np.ndarray) -> np.ndarray:
+    return values.view(np.uint64) >> np.uint64(64 - RARITY_BITS)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many of all ``shingles`` fall into each bin."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        for part in slices(batches):
+            np.add.at(counts, _bins(_lists(part)[0]), 1)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["bin", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    out[found.column("bin").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def rarest_shingles(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """``rep, component, grp`` for the first shingles of each of the ``rep, component, shingles``, rarest bins first.
+
+    Two sets with 100 * intersection >= ``percent`` * union share one of them: at least ``n * percent / 100`` of either set are common, so
+    the first common shingle has no more than the rest before it.  Shingles alone in their bin are alone, and left out.
+    """
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            values, at = _lists(part)
+            often = counts[_bins(values)]
+            firsts = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                first = lo + np.lexsort((values[lo:hi], often[lo:hi]))[: hi - lo + percent * (lo - hi) // 100 + 1]
+                firsts.append(first[often[first] > 1])
+            rows = pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]))
+            names = [part.column(c).take(rows) for c in ("rep", "component")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(values[np.concatenate(firsts)])], names=["rep", "component", "grp"])
+
+    return sets.mapInArrow(run, "rep bigint, component bigint, grp bigint")
+
+
 def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each member to the least member of its component, of a symmetric boolean matrix."""
     order = np.argsort(ids, kind="stable")
@@ -209,11 +276,14 @@ def _linked(placed: DataFrame, kernel: Callable) -> DataFrame:
     return materialise(sorted_.mapInArrow(kernel, "a bigint, b bigint").distinct(), "links")
 
 
-def link_groups(members: DataFrame, payload: str, kernel: Callable, narrow: Callable | None = None, level: int = 0) -> DataFrame:
+def link_groups(
+    members: DataFrame, payload: str, kernel: Callable, narrow: Callable | None = None, level: int = 0, depth: int = DEPTH
+) -> DataFrame:
     """Components of what ``kernel`` links inside the groups: ``node, component`` of all linked nodes.
 
     ``members`` has ``grp, parts, rep`` and the payload; a group has ``parts`` blocks.  The frame is read several times,
-    so it should be a written one.  ``narrow`` cuts crowded groups into smaller ones, see :func:`by_further_minima`.
+    so it should be a written one.  ``narrow`` deals crowded groups into smaller ones, up to ``depth`` times; the links that it keeps
+    together are found.  :func:`by_rare_shingles` keeps all that count, :func:`by_further_minima` most.
     """
     one = members.where("parts = 1").select(F.xxhash64("grp").alias("g"), "rep", payload)
     split = members.where("parts > 1").withColumn("block", _block("parts"))
@@ -247,8 +317,8 @@ def link_groups(members: DataFrame, payload: str, kernel: Callable, narrow: Call
     deeper = None
     if narrow and not crowded.isEmpty():
         open_ = named.join(crowded, "grp").select("grp", "rep", "component").join(loads, ["grp", "rep"])
-        cut = materialise(narrow(open_, level), "cut-groups")
-        deeper = link_groups(cut, payload, kernel, narrow if level + 1 < DEPTH else None, level + 1)
+        cut = narrow(open_, level)
+        deeper = link_groups(cut, payload, kernel, narrow if level + 1 < depth else None, level + 1, depth)
         discard(cut)
     # what is known already is a set of stars, so few rounds are left
     new = more if deeper is None else more.unionByName(deeper.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -257,11 +327,37 @@ def link_groups(members: DataFrame, payload: str, kernel: Callable, narrow: Call
     return out
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """``grp, parts`` of the groups of more than one component in ``grp, component``: others have nothing to find."""
+    sizes = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return sizes.where("n > 1 AND lo <> hi").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+
+
+def by_rare_shingles(texts: DataFrame, width: int, percent: int) -> Callable[[DataFrame, int], DataFrame]:
+    """A function from ``members`` (``grp, rep, component, sig``) to groups ``grp, parts, rep, sig`` by rare shingles of their ``texts``.
+
+    All pairs of members at the limit meet in a group, also those of different buckets.  Rare are shingles of the bins that the
+    members' shingles fill least, so a passage makes a group only of texts with little else.
+    """
+
+    def dealt(members: DataFrame, level: int) -> DataFrame:
+        reps = materialise(members.select("rep", "component", "sig").distinct(), "open-members")
+        chosen = texts.join(reps.select("rep", "component").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "component", "text")
+        sets = materialise(full_sets(chosen, width), "open-sets")
+        keys = materialise(rarest_shingles(sets, rarity(sets), percent), "rare-shingles")
+        out = keys.join(_sized(keys), "grp").join(reps.select("rep", "sig"), "rep").select("grp", "parts", "rep", "sig")
+        out = materialise(out, "dealt-groups")
+        discard(reps, sets, keys)
+        return out
+
+    return dealt
+
+
 def by_further_minima(members: DataFrame, level: int) -> DataFrame:
     """Groups ``grp, parts, rep, sig`` that ``members`` (``grp, rep, component, sig``) make by more places of their signatures.
 
-    Each member goes ``WAYS`` times to the group of those that agree with it on ``PLACES`` places, which a hash of the old group's key
-    chooses.  Groups of one component are left out: they have nothing to find.
+    For members without texts at hand: a pair may be parted in all ways, so the operator deals by :func:`by_rare_shingles`.  Each
+    member goes ``WAYS`` times to the group of those that agree with it on ``PLACES`` places, which a hash of the old group's key chooses.
     """
 
     def key(way: int) -> Column:
@@ -269,9 +365,7 @@ def by_further_minima(members: DataFrame, level: int) -> DataFrame:
         return F.xxhash64("grp", F.lit(way), *[F.substr("sig", at, F.lit(1)) for at in places])
 
     keys = members.select("rep", "component", "sig", F.explode(F.array(*[key(w) for w in range(WAYS)])).alias("grp"))
-    sizes = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    sizes = sizes.where("n > 1 AND lo <> hi").select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    return keys.join(sizes, "grp").select("grp", "parts", "rep", "sig")
+    return materialise(keys.join(_sized(keys), "grp").select("grp", "parts", "rep", "sig"), "cut-groups")
 
 
 # -- operator -------------------------------------------------------------------
@@ -317,7 +411,7 @@ def _near_duplicates(
     parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
     held = keys.join(counts.select("grp", parts), "grp")
     members = materialise(held.join(reps.select("rep", "sig"), "rep").select("grp", "parts", "rep", "sig"), "buckets")
-    clusters = link_groups(members, "sig", link_signatures(least_agreeing), by_further_minima)
+    clusters = link_groups(members, "sig", link_signatures(least_agreeing), by_rare_shingles(texts, width, percent), depth=1)
     discard(members)
 
     # full sets of the clusters' members
@@ -329,14 +423,7 @@ def _near_duplicates(
     chosen = texts.join(F.broadcast(listed) if small else listed, F.col("doc_id") == F.col("rep"))
     chosen = chosen.select("grp", "parts", "rep", "text")
 
-    @releasing
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            values, offsets = shingle_sets([t.encode() if t else None for t in part.column("text").to_pylist()], width)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), lists], names=["grp", "parts", "rep", "shingles"])
-
-    full = materialise(chosen.mapInArrow(sets, "grp bigint, parts int, rep bigint, shingles array<bigint>"), "sets")
+    full = materialise(full_sets(chosen, width), "sets")
     groups = link_groups(full, "shingles", link_sets(percent))
     discard(full, listed, clusters)
 
